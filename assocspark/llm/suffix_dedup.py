@@ -8,8 +8,9 @@ any two equal 100-byte strings share.
    in a row with the same pick form a territory, known by the gram's hash and the territory's own.
    Equal windows pick the same gram at the same place, so they are in territories of one gram.
 2. Territories are collapsed where they arise and then dealt by the gram's hash. All but the first of
-   equal territories repeat it whole. Grams with different territories may share some windows: those
-   territories are asked for as pieces of at most 168 bytes. Grams known from a bounded sample to be
+   equal territories repeat it whole. Different territories of a gram may share some windows: where
+   hashes of the bytes that such windows would have in common agree, they are asked for as pieces of at
+   most 168 bytes. Grams known from a bounded sample to be
    very common are dealt by the territory's hash instead, and all their pieces are asked for.
 3. Pieces are suffix-sorted by column-wise construction: each round inserts one symbol of every piece
    and rewrites the collection's Burrows-Wheeler transform and common prefixes from one external file
@@ -33,20 +34,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, local_tmp, written
+from .common import bounded_batches, local_tmp, small_side, written
 from .kernels import U64, buffers, inverse_powers, mix, prefix_hash, range_hash, utf8
 
 LENGTH, GRAM = 100, 32
 PICKS = LENGTH - GRAM + 1
-#: A window holds this many bytes on one side of its gram at least.
-HALF = (LENGTH - GRAM) // 2
+#: Windows are told apart by their gram's place in them, in SHARES classes of SHARE places. All windows
+#: of class i around a gram at q hold the bytes from q - SHARE * i to CORE bytes on.
+SHARES, SHARE = 4, -(-PICKS // 4)
+CORE = LENGTH - SHARE + 1
 #: Windows looked at together, pieces sorted together, bytes of text to a dealt part.
 STEP, PIECES, PART_BYTES = 1 << 17, 2048, 8 << 20
 #: Documents sampled for very common grams, the share of them that makes a gram common, the most of such grams.
 SAMPLE, COMMON, COMMON_MAX = 2_000, 0.02, 10_000
 
 
-_KINDS = {"key": np.uint64, "sub": np.uint32, "doc": np.int64, "start": np.int64, "n": np.uint8, "at": np.uint8, "left": np.uint16, "right": np.uint16}
+_KINDS = {"key": np.uint64, "sub": np.uint32, "doc": np.int64, "start": np.int64, "n": np.uint8, "at": np.uint8, **{f"core{i}": np.uint8 for i in range(SHARES)}}
 
 
 def _least(key: np.ndarray, width: int) -> np.ndarray:
@@ -62,10 +65,9 @@ def _least(key: np.ndarray, width: int) -> np.ndarray:
 
 def territories(buf: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     """Of all texts of a buffer: gram hash, territory hash, document, first window, windows, the gram's
-    place in the first window, and hashes of HALF bytes left and right of the gram (0: no window of the
-    territory has them)."""
+    place in the first window, and for each class a hash of its core (0: no window of it)."""
     out: list[tuple[np.ndarray, ...]] = []
-    names = ("key", "sub", "doc", "start", "n", "at", "left", "right")
+    names = tuple(_KINDS)
     if len(buf) < LENGTH:
         return {c: np.zeros(0, _KINDS[c]) for c in names}
     prefix = prefix_hash(buf)
@@ -92,10 +94,14 @@ def territories(buf: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
         with np.errstate(over="ignore"):
             own = mix(range_hash(prefix, first + s, last + s + LENGTH) + (spot - first).astype(U64) * U64(0x9E3779B97F4A7C15))
         doc = np.searchsorted(at, first + s, "right") - 1
-        side = [np.zeros(len(new), np.uint16) for _ in "lr"]
-        for x, has, a in ((side[0], spot - first >= HALF, spot + s - HALF), (side[1], spot - last < HALF, spot + s + GRAM)):
-            x[has] = (range_hash(prefix, a[has], a[has] + HALF) >> U64(48)).astype(np.uint16) | np.uint16(1)
-        out.append((gram[spot], (own >> U64(32)).astype(np.uint32), doc, first + s - at[doc], last - first + 1, spot - first, *side))
+        cores = []
+        for i in range(SHARES):
+            has = (spot - first >= SHARE * i) & (spot - last < SHARE * (i + 1))
+            a = (spot + s - SHARE * i)[has]
+            core = np.zeros(len(new), np.uint8)
+            core[has] = (range_hash(prefix, a, a + CORE) >> U64(56)).astype(np.uint8) | np.uint8(1)
+            cores.append(core)
+        out.append((gram[spot], (own >> U64(32)).astype(np.uint32), doc, first + s - at[doc], last - first + 1, spot - first, *cores))
     if not out:
         return territories(buf[:0], at[:1])
     return dict(zip(names, map(np.concatenate, zip(*out, strict=True)), strict=True))
@@ -183,14 +189,15 @@ def _meet(common: np.ndarray):
         order, again = _firsts(x["doc"], x["start"], x["sub"], x["key"])
         x = {c: v[order] for c, v in x.items()}
         repeat = _ranges(x["doc"][again], x["start"][again], x["n"][again], 0)
-        x = {c: v[~again].astype(v.dtype if c in ("key", "left", "right") else np.int64) for c, v in x.items()}
+        x = {c: v[~again].astype(v.dtype if c == "key" or c[:4] == "core" else np.int64) for c, v in x.items()}
         everyone = np.isin(x["key"], common)
-        # a window shared with another territory of the gram has HALF equal bytes left or right of it
-        left, right = (_shared(x["key"], x[c]) | everyone for c in ("left", "right"))
-        split = np.clip(x["at"] - HALF + 1, 0, x["n"])  # windows before this one hold the left bytes
-        a, b = np.where(left, 0, split), np.where(right, x["n"], split)
-        ask = b > a
-        return pa.concat_tables([_ranges(done["doc"], done["start"], done["n"], 0), repeat, _ranges(x["doc"][ask], (x["start"] + a)[ask], (b - a)[ask], 1)])
+        # a window shared with another territory of the gram shares its class's core; classes go from the last window to the first
+        asked = np.stack([np.zeros(len(everyone), bool), *(_shared(x["key"], x[f"core{i}"]) | everyone & (x[f"core{i}"] > 0) for i in reversed(range(SHARES))), np.zeros(len(everyone), bool)], axis=1)
+        row, begin = np.nonzero(asked[:, 1:] & ~asked[:, :-1])
+        _, end = np.nonzero(asked[:, :-1] & ~asked[:, 1:])
+        a = np.clip(x["at"][row] - SHARE * (SHARES - begin) + 1, 0, x["n"][row])
+        b = np.clip(x["at"][row] - SHARE * (SHARES - end) + 1, 0, x["n"][row])
+        return pa.concat_tables([_ranges(done["doc"], done["start"], done["n"], 0), repeat, _ranges(x["doc"][row], x["start"][row] + a, b - a, 1)])
 
     return run
 
@@ -362,9 +369,16 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = docs.mapInArrow(_collapse(parts, common), _PACKED).groupBy("part").applyInArrow(_meet(common), _RANGES)
     met = written(met, "territories")
     wanted = met.where("kind = 1").groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
-    windows = docs.join(wanted, "doc_id").select("doc_id", "text", "starts", "ns").mapInArrow(_sort_pieces(parts), _PACKED).groupBy("part").applyInArrow(_meet_windows, _RANGES)
+    windows = _with_ranges(docs, written(wanted, "wanted"))[0].select("doc_id", "text", "starts", "ns").mapInArrow(_sort_pieces(parts), _PACKED).groupBy("part").applyInArrow(_meet_windows, _RANGES)
     found = met.where("kind = 0").union(windows)
-    return found.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
+    return written(found.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns")), "repeated")
+
+
+def _with_ranges(docs: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs that have ranges, with starts and ns, and the others. Only texts that have some
+    are shuffled if their ids are few enough to tell without a shuffle."""
+    ids = small_side(ranges.select("doc_id"))
+    return docs.join(ids, "doc_id", "left_semi").join(ranges, "doc_id"), docs.join(ids, "doc_id", "left_anti")
 
 
 def _cut(data: bytes, starts, ns) -> tuple[bytes, int]:
@@ -399,12 +413,18 @@ def _digest(batches):
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
-    found = repeated_ranges(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(found, "doc_id", "left").select("doc_id", "text", "starts", "ns").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    some, others = _with_ranges(rows, repeated_ranges(docs, id_col, text_col))
+    none = [F.lit(None).cast("array<long>").alias(c) for c in ("starts", "ns")]
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return some.select("doc_id", "text", "starts", "ns").mapInArrow(_digest, schema).union(others.select("doc_id", "text", *none).mapInArrow(_digest, schema))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with all their columns, the text without what repeats."""
-    found = repeated_ranges(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("starts").alias("__starts"), F.col("ns").alias("__ns"))
-    return docs.join(found, docs[id_col].cast("long") == F.col("__id"), "left").withColumn(text_col, F.pandas_udf(_kept_text, "string")(F.col(text_col), "__starts", "__ns")).drop("__id", "__starts", "__ns")
+    packed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    some, others = _with_ranges(packed, repeated_ranges(docs, id_col, text_col))
+    cut = F.pandas_udf(_kept_text, "string")
+    some = some.select("row", cut(F.col("row")[text_col].cast("string"), "starts", "ns").alias("kept"))
+    names = [F.col("row")[c].alias(c) if c != text_col else F.col("kept").alias(c) for c in docs.columns]
+    return some.select(*names).union(others.select("row.*"))
