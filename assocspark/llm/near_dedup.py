@@ -2,11 +2,12 @@
 
 Each text's distinct k-word shingles give K minima. The low 4 bits of each are kept and packed
 into longs; bands of full minima name candidate buckets. Texts with equal shingle sets are one
-class from the start. In a bucket every class is held against the bucket's smallest class (a
-star, so never all pairs); the packed bits estimate the similarity, corrected for the 1 in 16
+class from the start. In a bucket every class is held against one of them (a star, so never
+all pairs): the class that meets the most others in all its buckets; the packed bits estimate the similarity, corrected for the 1 in 16
 chance that unequal minima agree, and pairs near or above the threshold are confirmed on their
-full shingle sets. Connected classes then form components, and only pairs of one bucket that
-are still in different components are compared with each other, so that no link is lost.
+full shingle sets. Connected classes then form components. Pairs of one bucket that are still in
+different components are compared as well, block by block and with a longer sketch before they are
+confirmed, so that no link is lost.
 
 Defined cases: null, empty or blank texts have no shingles, stay their own component and are kept.
 Repeated rows get the same component. Rows with a null id are returned with a null component and
@@ -28,28 +29,35 @@ ROWS, BANDS, BITS = 5, 40, 4
 K = ROWS * BANDS
 PER_LONG = 64 // BITS
 #: The estimate is let through this far below the threshold: five standard errors of K minima at 0.8.
-MARGIN = 0.142
+MARGIN = 0.148
+
+#: A second, longer sketch of the classes that still have to be compared with many, and its margin (five standard errors).
+FINE, FINE_MARGIN = 2048, 0.048
+#: So many longs of the longer sketch are looked at first.
+COARSE = 12
+#: Members of a bucket compared by one group of a task, and rows to a group.
+BLOCK, GROUP_ROWS = 2_000, 8_000
 
 _rng = np.random.default_rng(20240229)
-_A = (_rng.integers(0, 1 << 32, K, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-_B = _rng.integers(0, 1 << 32, K, dtype=np.uint64).astype(np.uint32)
+_A = (_rng.integers(0, 1 << 32, FINE, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+_B = _rng.integers(0, 1 << 32, FINE, dtype=np.uint64).astype(np.uint32)
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """K minima of 32 bits of a non-empty set of 64-bit hashes."""
+def minima(hashes: np.ndarray, k: int = K) -> np.ndarray:
+    """k minima of 32 bits of a non-empty set of 64-bit hashes."""
     low = (hashes >> np.uint64(32)).astype(np.uint32)
-    out = np.full(K, 0xFFFFFFFF, np.uint32)
+    out = np.full(k, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(low), 512):
-        part = low[None, at : at + 512] * _A[:, None]
-        part += _B[:, None]
+        part = low[None, at : at + 512] * _A[:k, None]
+        part += _B[:k, None]
         np.minimum(out, part.min(axis=1), out=out)
     return out
 
 
 def pack(low: np.ndarray) -> np.ndarray:
-    """Low BITS of each of K minima, PER_LONG to a long; the rest of the last long is zero."""
-    field = np.zeros(-(-K // PER_LONG) * PER_LONG, np.uint64)
-    field[:K] = low & np.uint32((1 << BITS) - 1)
+    """Low BITS of each minimum, PER_LONG to a long; the rest of the last long is zero."""
+    field = np.zeros(-(-len(low) // PER_LONG) * PER_LONG, np.uint64)
+    field[: len(low)] = low & np.uint32((1 << BITS) - 1)
     shift = (np.arange(len(field)) % PER_LONG * BITS).astype(np.uint64)
     return np.bitwise_or.reduce((field << shift).reshape(-1, PER_LONG), axis=1).view(np.int64)
 
@@ -88,6 +96,83 @@ def _sets(k: int):
     return run
 
 
+def _fine(k: int):
+    def run(batches):
+        for batch in buffers(batches):
+            sigs = (pack(minima(s, FINE)) if len(s) else None for s in shingle_sets(batch.column(1), k))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["rep", "fine"])
+
+    return run
+
+
+def _estimate(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    """Collision-corrected similarities of packed sketches (rows of longs) by bit counts."""
+    x = a ^ b
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    x &= np.uint64(0x1111111111111111)
+    agree = k - np.bitwise_count(x).sum(axis=-1, dtype=np.int64)  # unused fields agree and are not counted
+    chance = 2.0**-BITS
+    return (agree / k - chance) / (1 - chance)
+
+
+def _across(percent: int, best: bool):
+    """Likely pairs of one bucket's blocks i and j that are in different components; best: for each member only
+    the likeliest. Nothing is compared within the commonest component."""
+
+    def pairs(a: dict, b: dict, ordered: bool):
+        for at in range(0, len(a["rep"]), 64):
+            x = {c: v[at : at + 64] for c, v in a.items()}
+            n = x["n"][:, None], b["n"][None, :]
+            may = (x["part"][:, None] != b["part"][None, :]) & (100 * np.minimum(*n) >= percent * np.maximum(*n))
+            if ordered:
+                may &= b["late"][None, :] | (x["rep"][:, None] < b["rep"][None, :])
+            i, j = np.nonzero(may)
+            for cut in range(0, len(i), 50_000):
+                p, q = i[cut : cut + 50_000], j[cut : cut + 50_000]
+                like = _estimate(x["fine"][p, :COARSE], b["fine"][q, :COARSE], COARSE * PER_LONG)
+                ok = like >= percent / 100 - MARGIN
+                p, q = p[ok], q[ok]
+                equal = x["bands"][p] == b["bands"][q]  # a pair belongs to the first bucket that has both
+                ok = x["bands"][p, equal.argmax(axis=1)] == x["key"][p]
+                p, q = p[ok], q[ok]
+                like = _estimate(x["fine"][p], b["fine"][q], FINE)
+                ok = like >= percent / 100 - FINE_MARGIN
+                p, q = p[ok], q[ok]
+                if best:
+                    order = np.lexsort((b["rep"][q], -like[ok], p))
+                    order = order[np.unique(p[order], return_index=True)[1]]
+                    p, q = p[order], q[order]
+                yield x["rep"][p], b["rep"][q], x["n"][p], b["n"][q]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")])
+        rows = {c: table.column(c).to_numpy() for c in ("key", "i", "j", "block", "rep", "part", "n")}
+        for c, kind in (("fine", np.uint64), ("bands", np.int64)):
+            rows[c] = table.column(c).combine_chunks().flatten().to_numpy().view(kind).reshape(table.num_rows, -1)
+        out = [(np.zeros(0, np.int64),) * 4]
+        new = np.ones(table.num_rows, bool)
+        new[1:] = np.any([rows[c][1:] != rows[c][:-1] for c in ("key", "i", "j")], axis=0)
+        lead = np.flatnonzero(new)
+        for s, e in zip(lead, np.append(lead[1:], table.num_rows), strict=True):
+            part, times = np.unique(rows["part"][s:e], return_counts=True)
+            if len(part) == 1:
+                continue
+            late = rows["part"][s:e] == part[times.argmax()]
+            one, two = (rows["block"][s:e] == rows[c][s] for c in "ij")
+            group = {c: v[s:e] for c, v in rows.items()} | {"late": late}
+            of = lambda mask, group=group: {c: v[mask] for c, v in group.items()}
+            if rows["i"][s] == rows["j"][s]:
+                out += pairs(of(~late), group, True)
+            else:
+                out += pairs(of(one & ~late), of(two), False)
+                out += pairs(of(two & ~late), of(one & late), False)
+        a, b, na, nb = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"a": a, "b": b, "na": na, "nb": nb})
+
+    return run
+
+
 def _agree(x, y):
     """Fields of two packed longs that agree, by a bit count."""
     x = x.bitwiseXOR(y)
@@ -128,9 +213,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     classes = sketch.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
     reps = written(sketch.join(classes, ["s1", "s2"]).where("doc_id = rep").select("rep", "n_shingles", "sig", "bands").dropDuplicates(["rep"]), "reps")
     keys = reps.select("rep", F.explode("bands").alias("key"))
-    centres = keys.groupBy("key").agg(F.min("rep").alias("c"), F.count("*").alias("n")).where("n > 1")
-    members = written(keys.join(centres, "key").select("key", "rep", "c"), "members")
-    facts = reps.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "sig")
+    shared = written(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "shared")
+    # the original of many copies meets more of them than any copy does, so it makes the best centre
+    met = shared.groupBy("rep").agg(F.sum("n").alias("met"))
+    rank = F.least("met", F.lit((1 << 31) - 1)) * (1 << 32) + F.pmod(F.xxhash64("rep"), F.lit(1 << 32))
+    ranked = shared.join(met, "rep").select("key", "rep", rank.alias("rank"))
+    centres = ranked.groupBy("key").agg(F.max_by("rep", "rank").alias("c"))
+    members = written(shared.select("key", "rep").join(centres, "key"), "members")
+    facts = reps.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "sig", "bands")
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sizes and estimate allow the threshold."""
@@ -149,14 +239,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     pairs = written(likely(members.where("rep <> c").select(F.col("rep").alias("a"), F.col("c").alias("b")).distinct()), "pairs")
     links = written(confirmed(pairs), "links")
-    found = components(links, "parts")
-    placed = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.count("*").alias("m")).where("m > 2 and p0 < p1")
-    open_ = written(placed.where("rep <> c").join(mixed.select("key"), "key", "left_semi").join(facts.withColumnRenamed("id", "rep"), "rep").select("key", "rep", "part", "n", "sig"), "open")
-    a, b = (open_.select("key", *(F.col(c).alias(t) for c, t in (("rep", x), ("part", f"p{x}"), ("n", f"n{x}"), ("sig", f"s{x}")))) for x in "ab")
-    rest = written(a.join(b, "key").where((F.col("pa") < F.col("pb")) & _may(percent)).select("a", "b", "na", "nb").distinct(), "rest")
-    if not rest.isEmpty():
-        found = components(links.union(confirmed(rest)), "parts")
+    found, fine = components(links, "parts"), None
+    for best in (True, False):  # first the likeliest pair of each, since after it many others are settled
+        placed = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
+        mixed = placed.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.count("*").alias("m")).where("m > 2 and p0 < p1")
+        open_ = written(placed.join(mixed.select("key"), "key", "left_semi").select("key", "rep", "part"), "open")
+        if open_.isEmpty():
+            break
+        if fine is None:  # later rounds leave fewer members open
+            ids = small_side(open_.select(F.col("rep").alias("doc_id")).distinct())
+            fine = written(docs.join(ids, "doc_id", "left_semi").mapInArrow(_fine(k), "rep long, fine array<long>").dropDuplicates(["rep"]).join(facts.withColumnRenamed("id", "rep").drop("sig"), "rep"), "fine")
+        blocks = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        dealt = open_.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "part").join(fine, "rep")
+        groups = max(1, open_.count() // GROUP_ROWS)
+        rest = dealt.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups)).alias("g")).applyInArrow(_across(percent, best), "a long, b long, na long, nb long")
+        links = written(links.union(confirmed(written(rest.distinct(), "rest"))), "links")
+        found = components(links, "parts")
     classes = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = sketch.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
