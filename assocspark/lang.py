@@ -1,0 +1,19 @@
+"""Word lists of the locales. Fixed values; the order is that in which they are tried: zh before en."""
+
+QUESTIONS = [
+    ("Correction", ["修正", "纠正", "改过", "反悔", "变化", "改变", "调整", "之前说"], ["corrected", "changed my mind", "no longer", "reconsidered", "updated", "replaced", "instead", "switched to", "used to"]),
+    ("Preference", ["偏好", "喜欢", "习惯", "倾向", "看重", "重视", "最喜欢"], ["prefer", "favorite", "like better", "rather", "enjoy"]),
+    ("Why", ["为什么", "为何", "为啥"], ["why", "what for", "how come"]),
+    ("How", ["怎么", "如何", "怎样"], ["how", "in what way"]),
+    ("What", ["什么", "哪些"], ["what", "which"]),
+]
+CHANGE_PAIR = ("之前", "后来")
+EXPLANATORY = [("因为", 0.12), ("决定", 0.10), ("原因", 0.15), ("由于", 0.15), ("所以", 0.10), ("因此", 0.10), ("导致", 0.12), ("because", 0.12), ("decided to", 0.10), ("chose", 0.10), ("reason", 0.15), ("due to", 0.15), ("therefore", 0.10), ("as a result", 0.10), ("led to", 0.12), ("caused by", 0.12), ("root cause", 0.15), ("in order to", 0.10)]
+GOAL = ["目标", "打算", "计划", "想要", "goal", "plan to", "aim to", "intend to"]
+EVENT = ["完成", "部署", "上线", "发布", "开会", "讨论", "deploy", "release", "launch", "meet", "discuss"]
+DECISION = ["决定", "选用", "采用", "弃用", "decide", "choose", "select", "drop", "adopt"]
+PREFERENCE = [("喜欢", "Positive"), ("倾向", "Positive"), ("讨厌", "Negative"), ("避免", "Negative"), ("prefer", "Positive"), ("like", "Positive"), ("enjoy", "Positive"), ("favor", "Positive"), ("avoid", "Negative"), ("dislike", "Negative"), ("hate", "Negative")]
+EMOTION = [("开心", "Joy"), ("兴奋", "Joy"), ("满意", "Joy"), ("沮丧", "Frustration"), ("失望", "Frustration"), ("焦虑", "Anxiety"), ("生气", "Anger"), ("害怕", "Fear"), ("happy", "Joy"), ("excited", "Joy"), ("satisfied", "Joy"), ("frustrated", "Frustration"), ("disappointed", "Frustration"), ("anxious", "Anxiety"), ("angry", "Anger"), ("afraid", "Fear")]
+CAUSAL = [("因为", "所以"), ("由于", "导致"), ("因为", "因此"), ("because", "so"), ("since", "therefore"), ("due to", "thus")]
+WHAT = ["是什么", "是指什么", "指的是什么", "what is", "what are", "what does", "define"]
+DEFINITION = ["是", "使用", "基于", "采用", "is", "are", "refers to", "means", "defined as"]
