@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import BETWEEN, tokens
+from .text import let, tokens
 
 DIM = 256
 
@@ -48,12 +48,17 @@ def hash_embedding(text: Column, dim: int = DIM) -> Column:
 
 def simhash(text: Column) -> Column:
     """64-bit SimHash of the tokens, in SQL functions: a bit is set if most token hashes have it."""
-    votes = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.aggregate(F.transform(tokens(text), lambda t: F.xxhash64(t)), F.lit(0), lambda s, h: s + F.when(F.call_function("shiftright", h, i).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1)))
-    return F.aggregate(F.transform(votes, lambda v, i: F.when(v > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b))
+
+    def code(hashes: Column) -> Column:
+        vote = lambda i: F.aggregate(hashes, F.lit(0), lambda s, h: s + F.when(F.call_function("shiftright", h, i).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1))
+        bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(vote(i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b))
+
+    return let(F.transform(tokens(text), lambda t: F.xxhash64(t)), code)
 
 
 def simhash_similarity(a: Column, b: Column) -> Column:
     return 1 - F.bit_count(a.bitwiseXOR(b)) / 64
 
 
-__all__ = ["BETWEEN", "hash_embedding", "simhash", "simhash_similarity", "stable_hash"]
+__all__ = ["hash_embedding", "simhash", "simhash_similarity", "stable_hash"]

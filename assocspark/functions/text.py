@@ -14,6 +14,11 @@ BETWEEN = r"[\s!-/:-@\[-`{-~]+"
 _EDGE = r"^[^\p{L}\p{N}_-]+|[^\p{L}\p{N}_-]+$"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: what a lambda reads from outside is computed anew for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), BETWEEN, -1), lambda x: x != "")
 
