@@ -11,7 +11,7 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 #: Texts are hashed in buffers of about this many bytes (one longer text makes a buffer of its own).
-BUFFER = 4 << 20
+BUFFER = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True

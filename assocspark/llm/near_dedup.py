@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, written
+from .common import bounded_batches, small_side, written
 from .kernels import buffers, shingle_sets
 
 ROWS, BANDS, BITS = 5, 40, 4
@@ -208,6 +208,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: doc_id, n_shingles, component_id (the smallest id reachable over links of similarity >= percent / 100), kept."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = written(docs.mapInArrow(_sketch(k), "doc_id long, n_shingles long, s1 long, s2 long, sig array<long>, bands array<long>"), "sketch")
     classes = sketch.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
