@@ -29,7 +29,6 @@ from collections.abc import Iterator
 from contextlib import ExitStack
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -395,9 +394,21 @@ def _cut(data: bytes, starts, ns) -> tuple[bytes, int]:
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), spans
 
 
-def _kept_text(text: pd.Series, starts: pd.Series, ns: pd.Series) -> pd.Series:
-    """Texts without what repeats; characters cut in two by it go as well. Null stays null."""
-    return pd.Series([None if t is None else t if s is None else _cut(t.encode(), s, n)[0].decode(errors="ignore") for t, s, n in zip(text, starts, ns, strict=True)], dtype=object)
+def _replace(at: int):
+    """Rows whose column `at` is the text and whose last two are its ranges: the text loses what repeats, the
+    ranges go. Characters cut in two go as well; null stays null."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for text, s, n in zip(batch.column(at), *(batch.column(batch.num_columns - k).to_pylist() for k in (2, 1)), strict=True):
+                text = text.as_py()
+                out.append(None if text is None else _cut(text.encode(), s, n)[0].decode(errors="ignore"))
+            columns = batch.columns[:-2]
+            columns[at] = pa.array(out, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-2])
+
+    return run
 
 
 def _digest(batches):
@@ -424,7 +435,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs with all their columns, the text without what repeats."""
     packed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     some, others = _with_ranges(packed, repeated_ranges(docs, id_col, text_col))
-    cut = F.pandas_udf(_kept_text, "string")
-    some = some.select("row", cut(F.col("row")[text_col].cast("string"), "starts", "ns").alias("kept"))
-    names = [F.col("row")[c].alias(c) if c != text_col else F.col("kept").alias(c) for c in docs.columns]
-    return some.select(*names).union(others.select("row.*"))
+    columns = [F.col("row")[c].cast("string").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+    some = some.select(*columns, F.col("starts").alias("__starts"), F.col("ns").alias("__ns"))
+    cut = some.mapInArrow(_replace(docs.columns.index(text_col)), some.drop("__starts", "__ns").schema)
+    return cut.union(others.select(*columns))
