@@ -24,7 +24,7 @@ def spread(seeds: DataFrame, edges: DataFrame, p: Params = DEFAULT, hops: int |
     meet fold in the order of the frontier and of the edges. The loop's length is max_hops. Lineage is cut
     by checkpoint() if a checkpoint folder is set."""
     hops = p.max_hops if hops is None else hops
-    top = strongest(edges, p)
+    top = strongest(edges, p).persist()  # every hop reads it
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(_PRODUCT("fused", 9)), F.asc("id")))
     frontier = seeds.select("query_id", "id", "energy", order.alias("ord"), F.array(F.struct(F.lit(None).cast(edges.schema["src"].dataType).alias("src"), F.col("id").cast(edges.schema["src"].dataType).alias("dst"), F.lit(None).cast("string").alias("link_type"), F.lit(0).alias("hop"), F.col("energy").alias("energy"))).alias("trace"))
     reached = frontier.select("query_id", "id", "energy", F.lit(0).alias("hop"), F.lit(1).cast("long").alias("n_paths"), "trace")

@@ -600,8 +600,8 @@ def retrieval_metrics(spark, sf_dir):
 @query()
 def retrieve_topk(spark, sf_dir):
     """The whole retrieval: conversations as memories with their edges, benchmark texts as queries."""
-    units = association.understand(memories(spark, sf_dir))
+    units = association.understand(memories(spark, sf_dir)).persist()
     posting = association.postings(units)
-    e = association.build_edges(association.pair_features(association.candidate_pairs(posting, ("entity", "topic")), units), F.lit(1000), NOW)
+    e = association.build_edges(association.pair_features(association.candidate_pairs(posting, ("entity", "topic")), units), F.lit(1000), NOW).persist()
     out = retrieve(probes(spark, sf_dir), units, posting, e, 10)
     return out.select("query_id", "rank", "id", _r("score", 4), "channel", "hop", F.array_join("dimensions", ",").alias("dimensions"), "trace", F.array_join("warnings", ",").alias("warnings"))
