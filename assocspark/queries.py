@@ -13,6 +13,7 @@ from .functions import scores, signatures, text
 from .operators import association, browse, channels, fusion, learning, metrics, rerank, spreading, summaries
 from .params import DEFAULT, TYPE_MODIFIER
 from .plans.retrieve import retrieve
+from .sources.warehouse import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -600,8 +601,8 @@ def retrieval_metrics(spark, sf_dir):
 @query()
 def retrieve_topk(spark, sf_dir):
     """The whole retrieval: conversations as memories with their edges, benchmark texts as queries."""
-    units = association.understand(memories(spark, sf_dir)).persist()
-    posting = association.postings(units)
-    e = association.build_edges(association.pair_features(association.candidate_pairs(posting, ("entity", "topic")), units), F.lit(1000), NOW).persist()
+    units = stored(association.understand(memories(spark, sf_dir)))
+    posting = stored(association.postings(units))
+    e = stored(association.build_edges(association.pair_features(association.candidate_pairs(posting, ("entity", "topic")), units), F.lit(1000), NOW))
     out = retrieve(probes(spark, sf_dir), units, posting, e, 10)
     return out.select("query_id", "rank", "id", _r("score", 4), "channel", "hop", F.array_join("dimensions", ",").alias("dimensions"), "trace", F.array_join("warnings", ",").alias("warnings"))

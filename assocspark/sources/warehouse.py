@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -74,3 +77,17 @@ def by_ids(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
 
 def first_by_id(table: DataFrame, n: int, key: str = "id") -> DataFrame:
     return table.orderBy(key).limit(n)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table of its own in the folder of spark.checkpoint.dir (on one machine without it, a temporary one).
+
+    A plan that reads a long derivation many times is short again, and a lost executor loses nothing."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="assocspark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
