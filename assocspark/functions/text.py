@@ -87,7 +87,10 @@ def explanatory(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "[。！？.!?\n]", -1), lambda x: F.trim(x)), lambda x: F.octet_length(x) > 1)
+    """Sentences with their end marks, without outer blanks, of two bytes or more; the whole text if there is none."""
+    parts = F.transform(F.regexp_extract_all(text, F.lit("[^。！？.!?\\n]*[。！？.!?\\n]|[^。！？.!?\\n]+"), F.lit(0)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    parts = F.filter(parts, lambda x: F.octet_length(x) > 1)
+    return F.when(F.size(parts) > 0, parts).otherwise(F.array(text))
 
 
 def what_subject(text: Column) -> Column:

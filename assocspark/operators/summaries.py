@@ -60,13 +60,23 @@ def clusters(units: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return found.withColumn("n", F.count("*").over(w)).withColumn("low", low).where((F.col("n") >= p.cluster_min) & (F.col("low") >= 0.5)).select("id", "leader")
 
 
-def summary(memories: DataFrame, sentences: int = 3, keywords: int = 20) -> DataFrame:
-    """memories (id, text): (id, summary, confidence): the best sentences by keyword hits, less for later ones."""
-    words = F.array_distinct(F.slice(F.filter(text.tokens(F.col("text")), lambda x: F.octet_length(x) >= 2), 1, keywords))
-    rows = memories.select("id", words.alias("words"), text.sentences(F.col("text")).alias("all")).select("id", "words", F.size("all").alias("n"), F.posexplode("all").alias("i", "s"))
-    low = F.lower("s")
-    hits = F.size(F.filter("words", lambda w: F.contains(low, w)))
-    rows = rows.withColumn("score", F.round(hits * (1 - 0.5 * F.col("i") / F.col("n")), 9))
-    best = rows.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), F.asc("i")))).where(F.col("r") <= sentences)
+def summary(members: DataFrame, sentences: int = 3, keywords: int = 20) -> DataFrame:
+    """members (leader, id, text): (leader, summary, confidence), the best sentences of each leader's texts, in the order of ids.
+
+    A sentence counts its tokens among the first keywords of the texts, less the later it comes. The end of a text ends
+    its sentence, so texts are never put together and a cluster of any size is read row by row."""
+    w = Window.partitionBy("leader").orderBy("id")
+    before = lambda c: F.coalesce(F.sum(F.size(c)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    words = F.slice(F.filter(text.tokens(F.col("text")), lambda x: F.octet_length(x) >= 2), 1, keywords)
+    rows = members.where("text is not null").select("leader", "id", words.alias("words"), text.sentences(F.col("text")).alias("all"))
+    rows = rows.withColumn("seen", before("words")).withColumn("at", before("all"))
+    first = F.slice("words", F.lit(1), F.greatest(F.lit(0), keywords - F.col("seen")).cast("int"))
+    known = rows.where(F.col("seen") < keywords).groupBy("leader").agg(F.array_distinct(F.flatten(F.collect_list(first))).alias("known"))  # keywords at most
+    total = rows.groupBy("leader").agg(F.sum(F.size("all")).alias("n"), F.count("*").alias("sources"))
+    each = rows.select("leader", "at", F.posexplode("all").alias("i", "s")).join(total, "leader").join(known, "leader")
+    hits = F.size(F.filter(text.tokens(F.col("s")), lambda x: F.array_contains("known", x)))
+    score = F.round(hits * (1 - 0.5 * (F.col("at") + F.col("i")) / F.col("n")), 9)
+    order = Window.partitionBy("leader").orderBy(F.desc("score"), F.asc("place"))
+    best = each.select("leader", "sources", "s", (F.col("at") + F.col("i")).alias("place"), score.alias("score")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= sentences)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("r", "s"))), lambda x: x["s"])
-    return best.groupBy("id").agg(F.array_join(ordered, "").alias("summary"))
+    return best.groupBy("leader").agg(F.array_join(ordered, "").alias("summary"), F.least(F.lit(0.6), 0.05 * F.max("sources")).alias("confidence"))

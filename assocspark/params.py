@@ -62,6 +62,7 @@ class Params:
     cluster_min: int = 12
     cluster_jaccard: float = 0.7
     cluster_low_importance: float = 0.5
+    summary_confidence: float = 0.35
 
 
 DEFAULT = Params()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import association, browse, channels, learning, spreading, summaries
@@ -12,6 +12,8 @@ from . import retrieve as plan
 
 RAW = "id long, text string, content_type string, created_at_ms long, conversation_id long, session_id long, project_id long, task_id long"
 
+ACTIVATION = "retrieval_id long, memory_id long, ts_ms long, signal string"
+
 
 class Engine:
     def __init__(self, spark: SparkSession, root: str, params: Params = DEFAULT):
@@ -23,7 +25,7 @@ class Engine:
         self._derive(memories, now_ms)
 
     def _derive(self, memories: DataFrame, now_ms: int) -> None:
-        new = association.understand(memories).withColumn("lifecycle", F.lit("Active")).withColumn("generated_by", F.lit("Write"))
+        new = self._marked(association.understand(memories).withColumn("lifecycle", F.lit("Active")).withColumn("generated_by", F.lit("Write")))
         self.store.upsert("unit", new, "id")
         units = self.store.read("unit")
         posting = association.postings(units)
@@ -31,8 +33,26 @@ class Engine:
         pairs = association.candidate_pairs(self.store.read("posting")).join(memories.select(F.col("id").alias("src")), "src", "left_semi")
         edges = association.build_edges(association.pair_features(pairs, units, self.params), F.lit(units.count()), now_ms, self.params)
         edges = edges.withColumn("ord", F.lit(0))
+        if self.store.version("compressed"):
+            edges = self._redirected(edges)
         self.store.upsert("edge", edges, "src", "dst", "link_type")
 
+    def _marked(self, units: DataFrame) -> DataFrame:
+        """Units that a summary covers are Compressed, and summaries are made by Consolidation."""
+        if not self.store.version("compressed"):
+            return units
+        covers = self.store.read("compressed")
+        rows = units.join(covers.select("id", F.lit(True).alias("covered")), "id", "left").join(covers.select(F.col("into").alias("id"), F.lit(True).alias("made")).distinct(), "id", "left")
+        rows = rows.withColumn("lifecycle", F.when(F.col("covered"), "Compressed").otherwise(F.col("lifecycle"))).withColumn("generated_by", F.when(F.col("made"), "Consolidation").otherwise(F.col("generated_by")))
+        return rows.withColumn("importance", F.when(F.col("made"), 0.5).otherwise(F.col("importance"))).select(*units.columns)
+
+    def _redirected(self, edges: DataFrame) -> DataFrame:
+        """Edges to covered units point to the summary, the strongest of equal ones stays; summaries have no edges of their own."""
+        covers = self.store.read("compressed")
+        rows = learning.redirect(edges, covers).join(covers.select(F.col("into").alias("src")).distinct(), "src", "left_anti")
+        w = Window.partitionBy("src", "dst", "link_type").orderBy(F.desc("strength"), F.desc("last_activated_at"), F.desc("activation_count"), F.desc("confidence"))
+        return rows.withColumn("n", F.row_number().over(w)).where("n = 1").select(*edges.columns)
+
     def reindex(self, now_ms: int) -> None:
         """Rebuilds what is derived from the log; learnt tables stay."""
         self._derive(self.store.log("memory"), now_ms)
@@ -55,19 +75,41 @@ class Engine:
         self.store.append("context", good.select(F.col("retrieval_id").cast("string").alias("feature"), "memory_id", "ts_ms", "signal"))
 
     def consolidate(self, now_ms: int) -> dict[str, int]:
-        """One cycle over the edges. The counts say what changed."""
+        """One cycle over the edges, then summaries of clusters. The counts say what changed."""
         old = self.store.read("edge")
-        log = self.store.log("activation")
+        log = self.store.log("activation", ACTIVATION)
         before = old.count()
         new = learning.cycle(old.drop("ord"), log, now_ms, self.params).withColumn("ord", F.lit(0))
         self.store.replace("edge", new)
+        made = self.compress(now_ms)
         after = self.store.read("edge")
-        return {"edges_before": before, "edges_after": after.count(), "edges_new": after.join(old, ["src", "dst", "link_type"], "left_anti").count()}
+        return {"edges_before": before, "summaries_new": made, "edges_after": after.count(), "edges_new": after.join(old, ["src", "dst", "link_type"], "left_anti").count()}
 
     def summarise(self) -> DataFrame:
         """(leader, id) of clusters that deserve a summary."""
         return summaries.clusters(browse.eligible(self.store.read("unit")), self.params)
 
+    def compress(self, now_ms: int) -> int:
+        """Writes a summary of each such cluster as a memory, marks what it covers, and points edges to it. Returns their number.
+
+        Ids of summaries follow all others, in the order of the leaders."""
+        self.store.replace("cluster", self.summarise())
+        units = self.store.read("unit")
+        found = self.store.read("cluster").join(units.select("id", "text"), "id")
+        made = summaries.summary(found).where(F.round("confidence", 9) >= self.params.summary_confidence)
+        low, high = units.agg(F.min("id"), F.max("id")).first()
+        if made.isEmpty():
+            return 0
+        self.store.replace("summary", made.select((F.col("leader") + (high - low + 1)).alias("id"), "leader", F.col("summary").alias("text")))
+        made = self.store.read("summary")
+        covers = found.join(made.select("leader", F.col("id").alias("into")), "leader").select("id", "into")
+        self.store.upsert("compressed", covers, "id")
+        memories = made.select("id", "text", F.lit("Reflection").alias("content_type"), F.lit(now_ms).cast("long").alias("created_at_ms"), *(F.lit(None).cast("long").alias(c) for c in association.CONTEXT))
+        self.write(memories, now_ms)
+        self.store.replace("unit", self._marked(self.store.read("unit")))
+        self.store.replace("edge", self._redirected(self.store.read("edge")))
+        return made.count()
+
     def list(self, limit: int = 20, cursor=None, content_type: str | None = None) -> DataFrame:
         return browse.page(self.store.read("unit"), limit, cursor, content_type)
 

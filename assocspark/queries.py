@@ -543,7 +543,7 @@ def summary_clusters(spark, sf_dir):
 
 @query()
 def summary_text(spark, sf_dir):
-    return summaries.summary(documents(spark, sf_dir))
+    return summaries.summary(documents(spark, sf_dir).withColumn("leader", F.col("id"))).select(F.col("leader").alias("id"), "summary")
 
 
 # --- browsing and metrics

@@ -48,8 +48,14 @@ class Warehouse:
         old = self.read(name)
         return self.replace(name, old.join(df.select(*keys), list(keys), "left_anti").unionByName(df))
 
-    def log(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._path(name)}/log")
+    def log(self, name: str, schema: str | None = None) -> DataFrame:
+        """The records of a log; none if it was never written and a schema is given."""
+        try:
+            return self.spark.read.parquet(f"{self._path(name)}/log")
+        except AnalysisException:
+            if schema is None:
+                raise
+            return self.spark.createDataFrame([], schema)
 
     def append(self, name: str, df: DataFrame, key: str | None = None) -> None:
         """Appends to a log; with a key, ids that are there already, or twice in df, are an error."""

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from assocspark import __main__ as cli
 from assocspark import queries
 from assocspark.functions import scores, signatures, text
 from assocspark.operators import fusion, learning, rerank, spreading, summaries
@@ -161,6 +162,31 @@ def test_engine(spark, tmp_path):
     assert engine.store.version("unit") == 0
 
 
+def test_summaries_are_written_back(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/store")
+    engine.write(memories(spark, [(i, f"Alpha stops. Beta waits long! No one knows v{i}") for i in range(1, 13)] + [(20, "Alpha notes"), (21, "Bread recipe")]), 0)
+    assert engine.consolidate(DAY)["summaries_new"] == 1
+    units = {r.id: r for r in engine.store.read("unit").collect()}
+    assert sorted(units) == [*range(1, 13), 20, 21, 22] and units[22].content_type == "Reflection"
+    assert units[22].text == "No one knows v1No one knows v2Beta waits long!" and units[22].importance == 0.5
+    for _ in range(2):
+        rows = engine.store.read("unit").collect()
+        assert {r.id for r in rows if r.lifecycle == "Compressed"} == set(range(1, 13)) and [r.id for r in rows if r.generated_by == "Consolidation"] == [22]
+        edges = {(r.src, r.dst) for r in engine.store.read("edge").collect()}
+        assert (20, 22) in edges and not any(b < 13 or a == 22 for a, b in edges)
+        engine.reindex(0)
+    assert engine.compress(DAY) == 0
+
+
+def test_command_line(spark, tmp_path):
+    run = lambda *args: cli.call(spark, ["--store", f"file://{tmp_path}/store", "--now-ms", "5", *args])
+    assert [run("write", t)["id"] for t in ("Rust is fast", "Rust borrows ideas")] == [1, 2]
+    assert [r.id for r in run("list", "--limit", "1").collect()] == [2]
+    assert run("retrieve", "about Rust", "--top-k", "1").count() == 1 and run("explain", "1").first().id == 1
+    run("clear")
+    assert Engine(spark, f"file://{tmp_path}/store").store.version("unit") == 0
+
+
 def test_streams(spark, tmp_path):
     memories(spark, [(1, "Rust a"), (2, "Rust b")]).write.parquet(f"{tmp_path}/in")
     engine = Engine(spark, f"file://{tmp_path}/store")
