@@ -38,11 +38,6 @@ _SYMBOLS = 28  # 0: outside of a word, 1-26: a-z, 27: any other letter
 _CODE = np.zeros(256, np.int32)
 _CODE[97:123] = _CODE[65:91] = np.arange(1, 27)
 _CODE[128:] = 27
-_LETTER = _CODE > 0
-_SIGN = np.zeros(256, bool)
-_SIGN[[ord(c) for c in LEET]] = True
-_GAP = np.zeros(256, bool)
-_GAP[[ord(c) for c in " .-_*"]] = True
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+])(?:[ .\-_*]{1,2}(?:[^\W_]|[@$!|+])){2,}(?![^\W_])")
@@ -57,7 +52,7 @@ def count_trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         total = np.zeros(_SYMBOLS**3, np.int64)
         for batch in buffers(batches):
             text = joined(*utf8(batch.column(1)))[0]
-            x = _CODE[text]
+            x = _CODE[text[text & 0xC0 != 0x80]]  # a letter counts once, however many bytes it has
             if len(x) > 2:
                 x = (x[:-2] * _SYMBOLS + x[1:-1]) * _SYMBOLS + x[2:]
                 total += np.bincount(x, minlength=len(total))
@@ -164,22 +159,6 @@ def decode(token: str, model: np.ndarray) -> str:
     return max(best.values())[1].strip()
 
 
-def suspects(column: pa.Array) -> np.ndarray:
-    """Which texts may hold a disguised word: a quick look over all bytes."""
-    buf, offsets = utf8(column)
-    text, start, end = joined(buf, offsets)
-    odd = np.zeros(len(text) + 1, np.int64)
-    if len(text) > 4:
-        letter, sign, gap = _LETTER[text], _SIGN[text], _GAP[text]
-        single = letter | sign
-        hit = np.zeros(len(text), bool)
-        hit[:-2] |= letter[:-2] & (text[:-2] | 32 == text[1:-1] | 32) & (text[1:-1] | 32 == text[2:] | 32)
-        hit[:-1] |= (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
-        hit[:-4] |= single[:-4] & gap[1:-3] & single[2:-2] & gap[3:-1] & single[4:]
-        np.cumsum(hit, out=odd[1:])
-    return odd[end] > odd[start]
-
-
 def restore(text: str, model: np.ndarray) -> str:
     """The lower-case text with each disguised token or run of single letters replaced by its likeliest reading."""
     text = _SPACED.sub(lambda m: decode(m[0], model), text)
@@ -211,10 +190,10 @@ def scorer(spark, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         begins = {k: v for k, v in odds.items() if k[0] != "="}
         starts = {k[:4] for k in begins}
 
-        def of(text: str, odd: bool) -> float:
+        def of(text: str) -> float:
             text = text.lower()
             total = base
-            for w in set(_WORD.findall(restore(text, model) if odd else text)):
+            for w in set(_WORD.findall(restore(text, model))):
                 best = whole.get(w, 0.0)
                 if w[:4] in starts:
                     best = max(best, *(begins.get(w[:k], 0.0) for k in PREFIXES))
@@ -222,8 +201,7 @@ def scorer(spark, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             return 1 / (1 + math.exp(-min(total, 500))) if total > -500 else 0.0
 
         for part in parts:
-            odd = suspects(pa.array(part, pa.string(), from_pandas=True))
-            yield pd.Series([of(t if isinstance(t, str) else "", o) for t, o in zip(part, odd, strict=True)], dtype="float64")
+            yield pd.Series([of(t if isinstance(t, str) else "") for t in part], dtype="float64")
 
     return score
 

@@ -272,6 +272,16 @@ def test_toxicity(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_toxicity_of_every_disguise(spark):
+    """No look ahead of the patterns keeps a disguised word from them: gaps of two, letters of two bytes, signs that are no leet."""
+    bad = ["idiot", "blöd", "scum"]
+    rows = [(i, prose(i, 30) + " you " + (f"{bad[i // 4 % 3]} !" if i % 4 == 0 else "too")) for i in range(200)]
+    hidden = ["the i. d. i. o. t of", "the i  d  i  o  t of", "so blööööd of", "the b l ö d of", "the id2iot of"]
+    d = docs(spark, rows + [(1001 + n, t) for n, t in enumerate(hidden)])
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(d, labels(spark, [(i, 1, int(i % 4 == 0)) for i in range(200)])).collect()}
+    assert [got[1001 + n] for n in range(len(hidden))] == [1] * len(hidden)
+
+
 def test_toxicity_without_labels(spark):
     assert {r.score for r in toxicity.score_toxicity(docs(spark), labels(spark, [])).collect()} == {0.0}
     assert toxicity.score_toxicity(empty(spark), labels(spark, [])).count() == 0
