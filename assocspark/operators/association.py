@@ -43,8 +43,8 @@ def postings(units: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(posting: DataFrame, dims: tuple[str, ...] = ("entity", "topic", "temporal")) -> DataFrame:
-    """(src, dst) of memories that share a key, dst written before src."""
-    a = posting.where(F.col("dim").isin(*dims))
+    """(src, dst) of memories that share a key, dst written before src. Hours and days lie within weeks, so the weeks alone give all temporal pairs."""
+    a = posting.where(F.col("dim").isin(*dims)).where((F.col("dim") != "temporal") | F.col("key").startswith("w:"))
     b = a.select("dim", "key", F.col("id").alias("dst"))
     return a.withColumnRenamed("id", "src").join(b, ["dim", "key"]).where("dst < src").select("src", "dst").distinct()
 
@@ -60,9 +60,10 @@ def pair_features(pairs: DataFrame, units: DataFrame, p: Params = DEFAULT) -> Da
     """Similarities of each pair, for the max_candidates lexically closest of each src, and the dimensions hit."""
     keep = [*("id", "entities", "topics", "goals", "events", "causals", "emotions", "temporals", "importance", "simhash"), *(c for c in CONTEXT if c in units.columns)]
     u = units.select(*keep, *(F.lit(None).cast("long").alias(c) for c in CONTEXT if c not in units.columns))
-    rows = pairs.join(u.select(F.col("id").alias("src"), F.struct(*u.columns).alias("a")), "src").join(u.select(F.col("id").alias("dst"), F.struct(*u.columns).alias("b")), "dst")
-    rows = rows.withColumn("lexical", signatures.simhash_similarity(F.col("a.simhash"), F.col("b.simhash")))
+    rows = pairs.join(u.select(F.col("id").alias("src"), F.col("simhash").alias("x")), "src").join(u.select(F.col("id").alias("dst"), F.col("simhash").alias("y")), "dst")
+    rows = rows.select("src", "dst", signatures.simhash_similarity(F.col("x"), F.col("y")).alias("lexical"))
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("lexical"), F.asc("dst")))).where(F.col("n") <= p.max_candidates)
+    rows = rows.join(u.select(F.col("id").alias("src"), F.struct(*u.columns).alias("a")), "src").join(u.select(F.col("id").alias("dst"), F.struct(*u.columns).alias("b")), "dst")
     j = lambda c: scores.jaccard(F.col(f"a.{c}"), F.col(f"b.{c}"))
     n = lambda c: F.size(F.array_intersect(F.col(f"a.{c}"), F.col(f"b.{c}")))
     rows = rows.select("src", "dst", "lexical", j("entities").alias("entity_j"), j("topics").alias("topic_j"), j("goals").alias("goal_j"), j("events").alias("event_j"), n("temporals").alias("temporal_n"), n("causals").alias("causal_n"), n("emotions").alias("emotion_n"), F.col("a.importance").alias("importance"), co_context("a", "b").alias("co_context"))

@@ -387,7 +387,7 @@ def candidate_pairs(spark, sf_dir):
 
 def _features(spark, sf_dir):
     units = association.understand(memories(spark, sf_dir))
-    return association.pair_features(association.candidate_pairs(association.postings(units), ("entity", "topic")), units)
+    return association.pair_features(association.candidate_pairs(association.postings(units)), units)
 
 
 @query()
@@ -603,6 +603,6 @@ def retrieve_topk(spark, sf_dir):
     """The whole retrieval: conversations as memories with their edges, benchmark texts as queries."""
     units = stored(association.understand(memories(spark, sf_dir)))
     posting = stored(association.postings(units))
-    e = stored(association.build_edges(association.pair_features(association.candidate_pairs(posting, ("entity", "topic")), units), F.lit(1000), NOW))
+    e = stored(association.build_edges(association.pair_features(association.candidate_pairs(posting), units), F.lit(1000), NOW))
     out = retrieve(probes(spark, sf_dir), units, posting, e, 10)
     return out.select("query_id", "rank", "id", _r("score", 4), "channel", "hop", F.array_join("dimensions", ",").alias("dimensions"), "trace", F.array_join("warnings", ",").alias("warnings"))

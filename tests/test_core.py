@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from assocspark import __main__ as cli
 from assocspark import queries
 from assocspark.functions import scores, signatures, text
-from assocspark.operators import fusion, learning, rerank, spreading, summaries
+from assocspark.operators import association, fusion, learning, rerank, spreading, summaries
 from assocspark.plans.engine import RAW, Engine
 from assocspark.sources import fixtures
 from assocspark.sources.warehouse import RecordExists
@@ -31,6 +31,16 @@ def edge(src, dst, kind="EntityOverlap", s=0.9, c=0.9, observing=False, at=0, n=
     return src, dst, kind, s, c, observing, at, n
 
 
+def test_pairs_that_share_only_a_time(spark):
+    m = spark.createDataFrame([(1, "alpha beta", 0), (2, "gamma delta", 60_000), (3, "omega kappa", 3 * DAY), (4, "sigma theta", 30 * DAY)], "id long, text string, created_at_ms long").withColumn("content_type", F.lit("UserStatement"))
+    post = association.postings(association.understand(m))
+    assert {(r.src, r.dst) for r in association.candidate_pairs(post).collect()} == {(2, 1), (3, 1), (3, 2)}
+    every = {(r.src, r.dst) for r in post.withColumnRenamed("id", "src").join(post.withColumnRenamed("id", "dst"), ["dim", "key"]).where("dst < src").collect()}
+    assert {(r.src, r.dst) for r in association.candidate_pairs(post).collect()} == every
+    times = [r for r in queries.QUERIES["pair_features"](spark, SF).collect() if r.dims == "Temporal"]
+    assert times and all(r.entity_j == r.topic_j == 0 for r in times)
+
+
 def test_rank_fusion(spark):
     seeds = spark.createDataFrame([(1, 1, "Bm25", 0.9, 0), (1, 1, "SemanticDense", 0.5, 2), (1, 2, "Bm25", 0.8, 1), (1, 3, "TopicCluster", 0.15, 0)], "query_id int, id int, channel string, score double, rank int")
     got = {r.id: r for r in fusion.fuse(seeds).collect()}
