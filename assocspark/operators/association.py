@@ -28,6 +28,7 @@ def understand(memories: DataFrame) -> DataFrame:
         temporal_keys(F.col("created_at_ms")).alias("temporals"),
         text.importance(t, F.col("content_type")).alias("importance"),
         signatures.simhash(t).alias("simhash"),
+        scores.sign_code(signatures.hash_embedding(t)).alias("code"),
     ).withColumn("causals", F.filter("causals", lambda x: x != ""))
 
 
@@ -58,7 +59,7 @@ def co_context(a: str, b: str) -> Column:
 
 def pair_features(pairs: DataFrame, units: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Similarities of each pair, for the max_candidates lexically closest of each src, and the dimensions hit."""
-    keep = [*("id", "entities", "topics", "goals", "events", "causals", "emotions", "temporals", "importance", "simhash"), *(c for c in CONTEXT if c in units.columns)]
+    keep = [*("id", "entities", "topics", "goals", "events", "causals", "emotions", "temporals", "importance", "simhash", "code"), *(c for c in CONTEXT if c in units.columns)]
     u = units.select(*keep, *(F.lit(None).cast("long").alias(c) for c in CONTEXT if c not in units.columns))
     rows = pairs.join(u.select(F.col("id").alias("src"), F.col("simhash").alias("x")), "src").join(u.select(F.col("id").alias("dst"), F.col("simhash").alias("y")), "dst")
     rows = rows.select("src", "dst", signatures.simhash_similarity(F.col("x"), F.col("y")).alias("lexical"))
@@ -66,8 +67,13 @@ def pair_features(pairs: DataFrame, units: DataFrame, p: Params = DEFAULT) -> Da
     rows = rows.join(u.select(F.col("id").alias("src"), F.struct(*u.columns).alias("a")), "src").join(u.select(F.col("id").alias("dst"), F.struct(*u.columns).alias("b")), "dst")
     j = lambda c: scores.jaccard(F.col(f"a.{c}"), F.col(f"b.{c}"))
     n = lambda c: F.size(F.array_intersect(F.col(f"a.{c}"), F.col(f"b.{c}")))
-    rows = rows.select("src", "dst", "lexical", j("entities").alias("entity_j"), j("topics").alias("topic_j"), j("goals").alias("goal_j"), j("events").alias("event_j"), n("temporals").alias("temporal_n"), n("causals").alias("causal_n"), n("emotions").alias("emotion_n"), F.col("a.importance").alias("importance"), co_context("a", "b").alias("co_context"))
-    return rows.withColumn("dims", hit_dimensions()).withColumn("binary", F.lit(0.0))
+    rows = rows.select("src", "dst", "lexical", j("entities").alias("entity_j"), j("topics").alias("topic_j"), j("goals").alias("goal_j"), j("events").alias("event_j"), n("temporals").alias("temporal_n"), n("causals").alias("causal_n"), n("emotions").alias("emotion_n"), F.col("a.importance").alias("importance"), co_context("a", "b").alias("co_context"), binary_similarity(F.col("a.code"), F.col("b.code")).alias("binary"))
+    return rows.withColumn("dims", hit_dimensions())
+
+
+def binary_similarity(a: Column, b: Column) -> Column:
+    """The share of equal signs; a text without tokens has no vector, and is like nothing."""
+    return F.when((a == 0) | (b == 0), 0.0).otherwise(1 - scores.hamming(a, b) / 64)
 
 
 def hit_dimensions() -> Column:

@@ -41,6 +41,19 @@ def test_pairs_that_share_only_a_time(spark):
     assert times and all(r.entity_j == r.topic_j == 0 for r in times)
 
 
+def test_binary_similarity_counts(spark):
+    m = spark.createDataFrame([(1, "alpha beta", 0), (2, "alpha beta", 0), (3, "gamma delta", 0), (4, "...", 0)], "id long, text string, created_at_ms long").withColumn("content_type", F.lit("UserStatement"))
+    units = association.understand(m)
+    rows = association.pair_features(association.candidate_pairs(association.postings(units)), units)
+    vector = {r.id: r.v for r in m.select("id", signatures.hash_embedding(F.col("text")).alias("v")).collect()}
+    share = sum((x > 0) == (y > 0) for x, y in zip(vector[1][:64], vector[3][:64], strict=True)) / 64
+    got = {(r.src, r.dst): r.binary for r in rows.collect()}
+    assert got[2, 1] == 1.0 and got[3, 1] == got[3, 2] == pytest.approx(share) and 0 < share < 1 and got[4, 1] == 0.0
+    without = {(r.src, r.dst): r.s for r in rows.withColumn("binary", F.lit(0.0)).select("src", "dst", association.association_score(F.lit(1000)).alias("s")).collect()}
+    with_ = {(r.src, r.dst): r.s for r in rows.select("src", "dst", association.association_score(F.lit(1000)).alias("s")).collect()}
+    assert with_[3, 1] - without[3, 1] == pytest.approx(0.1 * share)
+
+
 def test_rank_fusion(spark):
     seeds = spark.createDataFrame([(1, 1, "Bm25", 0.9, 0), (1, 1, "SemanticDense", 0.5, 2), (1, 2, "Bm25", 0.8, 1), (1, 3, "TopicCluster", 0.15, 0)], "query_id int, id int, channel string, score double, rank int")
     got = {r.id: r for r in fusion.fuse(seeds).collect()}
