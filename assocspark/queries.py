@@ -416,10 +416,10 @@ def warnings(spark, sf_dir):
 
 @query()
 def question_boosts(spark, sf_dir):
-    """Boosts of conversations (every twentieth, a stated set) for benchmark texts and a few questions."""
+    """Boosts of all conversations for every twentieth benchmark text (a stated set) and a few questions."""
     asked = [(-1, "Why is the release late?"), (-2, "What is Onhe"), (-3, "which do you prefer instead"), (-4, "how to deploy")]
-    q = rerank.about(probes(spark, sf_dir).union(spark.createDataFrame(asked, "query_id long, text string")))
-    rows = memories(spark, sf_dir).where("id % 20 = 0").join(F.broadcast(q))
+    q = rerank.about(probes(spark, sf_dir).where("query_id % 20 = 0").union(spark.createDataFrame(asked, "query_id long, text string")))
+    rows = memories(spark, sf_dir).join(F.broadcast(q))
     c = {n: F.col(n) for n in ("question", "corrects", "subject", "keywords", "content_type")}
     boosts = rerank.why_boost(c["question"], F.col("text")), rerank.type_boost(c["question"], c["corrects"], c["subject"], F.col("text"), c["content_type"]), rerank.keyword_boost(c["keywords"], F.col("text")), rerank.definition_boost(c["question"], c["subject"], F.col("text"))
     return rows.select("query_id", "id", F.round(rerank.boosted(F.lit(0.5), *boosts), 6).alias("energy"))

@@ -54,6 +54,14 @@ def test_binary_similarity_counts(spark):
     assert with_[3, 1] - without[3, 1] == pytest.approx(0.1 * share)
 
 
+def test_question_boosts_search_all_memories(spark):
+    got = {(r.query_id, r.id): r.energy for r in queries.QUERIES["question_boosts"](spark, SF).collect()}
+    ids = {r.id: r.content_type for r in queries.memories(spark, SF).collect()}
+    asked = {r.query_id for r in queries.probes(spark, SF).where("query_id % 20 = 0").collect()} | {-1, -2, -3, -4}
+    assert set(got) == {(i, m) for i in asked for m in ids} and "ProjectKnowledge" in ids.values()
+    assert any(got[-2, m] > 0.5 for m, kind in ids.items() if kind == "ProjectKnowledge")
+
+
 def test_rank_fusion(spark):
     seeds = spark.createDataFrame([(1, 1, "Bm25", 0.9, 0), (1, 1, "SemanticDense", 0.5, 2), (1, 2, "Bm25", 0.8, 1), (1, 3, "TopicCluster", 0.15, 0)], "query_id int, id int, channel string, score double, rank int")
     got = {r.id: r for r in fusion.fuse(seeds).collect()}
