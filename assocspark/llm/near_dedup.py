@@ -9,9 +9,13 @@ full shingle sets. Connected classes then form components. Pairs of one bucket t
 different components are compared as well, block by block and with a longer sketch before they are
 confirmed, so that no link is lost.
 
+Sets are known by 128 bits of hash and shingles by 64, so "exact" and "full" mean equal up to those.
+
 Defined cases: null, empty or blank texts have no shingles, stay their own component and are kept.
-Repeated rows get the same component. Rows with a null id are returned with a null component and
-kept. Columns of the input other than id and text play no part. An empty table gives an empty result.
+Repeated rows get the same component. Rows that share an id but not the text are each judged by
+their own text. Rows with a null id are returned with a null component and kept. A very long text
+is hashed in a buffer of its own, and only its sketches and its set of hashes leave it. Columns of the
+input other than id and text play no part, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, small_side, written
+from .common import bounded_batches, discard, small_side, spread_join, written
 from .kernels import buffers, shingle_sets
 
 ROWS, BANDS, BITS = 5, 40, 4
@@ -33,6 +37,8 @@ MARGIN = 0.148
 
 #: A second, longer sketch of the classes that still have to be compared with many, and its margin (five standard errors).
 FINE, FINE_MARGIN = 2048, 0.048
+#: Nodes of rows that share an id lie at or below this.
+_BELOW = -(1 << 62)
 #: So many longs of the longer sketch are looked at first.
 COARSE = 12
 #: Members of a bucket compared by one group of a task, and rows to a group.
@@ -83,7 +89,9 @@ def _sketch(k: int):
                 else:
                     sig.append(None)
                     keys.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sig, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "s1", "s2", "sig", "bands"])
+            ids = [c.cast(pa.int64()) for c in batch.column(0).flatten()]
+            numbers, lists = [pa.array(c, pa.int64()) for c in (n, s1, s2)], [pa.array(c, pa.list_(pa.int64())) for c in (sig, keys)]
+            yield pa.RecordBatch.from_arrays([*ids, *numbers, *lists], ["doc_id", "given", "n_shingles", "s1", "s2", "sig", "bands"])
 
     return run
 
@@ -200,19 +208,59 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.withColumnRenamed("a", "u").join(least, "u")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("u", "m")).where("a <> b").distinct()
-        now = written(small, name)
+        before, now = now, written(small, name)
+        discard(before)
         last, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if last == mark:
             return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
 
 
+def _nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs (doc_id, text, ...) with a column node, and the ids of several rows. Rows that share an id get a node for each
+    text, below all ids (two texts of one id share it with probability 2 ** -62); for all others it is the id."""
+    twice = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return docs.withColumn("node", F.col("doc_id")), twice
+    own = F.lit(_BELOW) - F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(1 << 62))
+    marked = docs.join(small_side(twice.withColumn("several", F.lit(True))), "doc_id", "left")
+    return marked.withColumn("node", F.when(F.col("several"), own).otherwise(F.col("doc_id"))).drop("several"), twice
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: doc_id, n_shingles, component_id (the smallest id reachable over links of similarity >= percent / 100), kept."""
+    rows, twice = _nodes(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    found = _linked(rows, k, percent).withColumnRenamed("component", "component_id")
+    if not twice.isEmpty():  # a component that holds such a row is known by a node below all ids
+        found = written(found, "found")
+        least = found.where(F.col("component_id") <= _BELOW).groupBy("component_id").agg(F.min("doc_id").alias("least"))
+        found = found.join(least, "component_id", "left").withColumn("component_id", F.coalesce("least", "component_id"))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def without_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with all their columns, but one row of each component: that with the smallest id, where rows that share an id
+    come before all others and of rows with the same id and text one stays. Rows with a null id all stay."""
+    packed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows, twice = _nodes(packed)
+    found = _linked(rows.select("doc_id", "text", "node"), k, percent)
+    gone = written(found.where("node <> component").select("node").distinct(), "gone")
+    rest = rows.join(small_side(gone), "node", "left_anti")
+    if not twice.isEmpty():
+        rest = rest.where(F.coalesce(F.col("node") > _BELOW, F.lit(True))).unionByName(rest.where(F.col("node") <= _BELOW).groupBy("node").agg(*(F.min_by(c, F.to_json("row")).alias(c) for c in ("doc_id", "text", "row"))))
+    return rest.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+
+
+def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, node, n_shingles, component (the smallest node reachable) for each row of docs (doc_id, text, node)."""
     bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch = written(docs.mapInArrow(_sketch(k), "doc_id long, n_shingles long, s1 long, s2 long, sig array<long>, bands array<long>"), "sketch")
-    classes = sketch.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    reps = written(sketch.join(classes, ["s1", "s2"]).where("doc_id = rep").select("rep", "n_shingles", "sig", "bands").dropDuplicates(["rep"]), "reps")
+    given = docs.select("node", "doc_id", "text")
+    docs = docs.select(F.col("node").alias("doc_id"), "text")
+    sketch = written(given.select(F.struct("node", "doc_id").alias("ids"), "text").mapInArrow(_sketch(k), "doc_id long, given long, n_shingles long, s1 long, s2 long, sig array<long>, bands array<long>"), "sketch")
+    total = sketch.count()
+    classes = written(sketch.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
+    # joined by the representative's id too, so that a class of many copies is no hot key
+    reps = sketch.join(classes.select("s1", "s2", F.col("rep").alias("doc_id")), ["doc_id", "s1", "s2"])
+    reps = written(reps.select(F.col("doc_id").alias("rep"), "n_shingles", "sig", "bands").dropDuplicates(["rep"]), "reps")
     keys = reps.select("rep", F.explode("bands").alias("key"))
     shared = written(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "shared")
     # the original of many copies meets more of them than any copy does, so it makes the best centre
@@ -221,6 +269,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     ranked = shared.join(met, "rep").select("key", "rep", rank.alias("rank"))
     centres = ranked.groupBy("key").agg(F.max_by("rep", "rank").alias("c"))
     members = written(shared.select("key", "rep").join(centres, "key"), "members")
+    discard(shared)
     facts = reps.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "sig", "bands")
 
     def likely(pairs: DataFrame) -> DataFrame:
@@ -229,17 +278,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             pairs = pairs.join(facts.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")), x)
         return pairs.where(_may(percent)).select("a", "b", "na", "nb")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Pairs whose full shingle sets reach the threshold."""
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs, a written table, whose full shingle sets reach the threshold; also written."""
         ids = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"), "ids")
         sets = written(docs.join(small_side(ids), "doc_id", "left_semi").mapInArrow(_sets(k), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+        joined = pairs
         for x in "ba":
-            pairs = pairs.join(sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")), x)
+            joined = joined.join(sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")), x)
         both = F.size(F.array_intersect("sa", "sb"))
-        return pairs.where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
+        out = written(joined.where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b"), name)
+        discard(ids, sets, pairs)
+        return out
 
-    pairs = written(likely(members.where("rep <> c").select(F.col("rep").alias("a"), F.col("c").alias("b")).distinct()), "pairs")
-    links = written(confirmed(pairs), "links")
+    stars = members.where("rep <> c").select(F.col("rep").alias("a"), F.col("c").alias("b")).distinct()
+    links = confirmed(written(likely(stars), "pairs"), "links")
     found, fine = components(links, "parts"), None
     for best in (True, False):  # first the likeliest pair of each, since after it many others are settled
         placed = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
@@ -250,18 +302,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         if fine is None:  # later rounds leave fewer members open
             ids = small_side(open_.select(F.col("rep").alias("doc_id")).distinct())
             fine = written(docs.join(ids, "doc_id", "left_semi").mapInArrow(_fine(k), "rep long, fine array<long>").dropDuplicates(["rep"]).join(facts.withColumnRenamed("id", "rep").drop("sig"), "rep"), "fine")
-        blocks = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        dealt = open_.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        sizes = open_.groupBy("key").agg(F.count("*").alias("m"))
+        # only keys of more than one block are looked up; a block and another make one group of 2 * BLOCK sketches at most
+        blocks = written(sizes.where(F.col("m") > BLOCK).select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "blocks")
+        several = blocks.agg(F.coalesce(F.sum(F.col("blocks") * F.col("blocks") * BLOCK), F.lit(0))).first()[0]
+        dealt = open_.join(small_side(blocks), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "part").join(fine, "rep")
-        groups = max(1, open_.count() // GROUP_ROWS)
+        groups = max(1, (open_.count() + several) // GROUP_ROWS)
         rest = dealt.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups)).alias("g")).applyInArrow(_across(percent, best), "a long, b long, na long, nb long")
-        links = written(links.union(confirmed(written(rest.distinct(), "rest"))), "links")
+        more = confirmed(written(rest.distinct(), "rest"), "more")
+        links = written(links.union(more), "links")
         found = components(links, "parts")
-    classes = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = sketch.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        discard(open_, blocks, more)
+    placed = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
+    placed = written(placed, "placed")
+    discard(reps, members, *([fine] if fine is not None else []))
+    facts = sketch.select("given", "doc_id", "n_shingles", "s1", "s2")
+    some = F.coalesce((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
+    full = spread_join(facts.where(some), placed, ["s1", "s2"], total)
+    bare = facts.where(~some).withColumn("component", F.col("doc_id"))  # no shingles or no id: alone
+    out = full.select(*bare.columns).union(bare)
+    return out.select(F.col("given").alias("doc_id"), F.col("doc_id").alias("node"), "n_shingles", "component")
 
 
 def _may(percent: int):
