@@ -1,30 +1,33 @@
 """Allow and block rules for urls by a sort-merge range join.
 
 A host's labels are reversed and each ends with a dot, so that a rule's host and its subdomains
-are one interval of keys: those that begin with the rule's key. Urls and rules are cut into key
-ranges at boundaries taken from a bounded sample; a rule goes to every range its interval meets.
-Within a range both are sorted and swept once: a stack holds the rules whose interval is open, the
-most nested on top. A page's key includes its path and id, so one host may span many ranges.
+are one interval of keys: those that begin with the rule's key. Rules are sorted by that key. Urls are range-partitioned and
+sorted by it, and each partition is merged with the rules in one sweep: a stack holds the rules whose interval is open, the
+most nested on top. A sweep may begin anywhere, since the rules before a partition's first key are run through the same stack.
+Partitions are cut by the first KEY_CHARS of the key and then a hash, so the boundaries that Spark samples are
+small, and a host with any number of urls, or copies of one url, is spread over many partitions.
 
 Defined cases: null urls, urls without ://, and empty hosts have an empty host and fit no rule.
 The rule with the longest host wins, then that with the longest path; of equal rules, block. A
-page no rule fits is allowed. Repeated rows are judged alike; an empty table gives an empty result.
+page no rule fits is allowed. Repeated rows are judged alike, and rows with a null id are judged and returned. A very long
+url is one row of its partition and no boundary. Columns other than id and url play no part, whatever their names.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-#: Rows to a key range, the most ranges, and the rows sampled for each boundary.
-RANGE_ROWS, RANGES, SAMPLE = 2_000, 4_000, 20
+#: Urls to a partition, and how many characters of a key boundaries have.
+RANGE_ROWS, KEY_CHARS = 50_000, 48
+#: Rules come as a list that the driver holds; they go to every task, so their number is bounded.
+RULES = 1_000_000
 
 _COLUMNS = "page_id long, host string, path string, rule string, verdict string"
 
@@ -41,28 +44,31 @@ def host_and_path(url) -> tuple:
     return host, path
 
 
-def _sweep(rules: Sequence[tuple[str, str, str]]):
-    """rules: (verdict, host, path). Returns a function over sorted rows (range, kind, key, ...)."""
+def ordered(rules: Sequence[tuple[str, str, str]]) -> list[tuple[str, list[tuple[str, str, str]]]]:
+    """rules (verdict, host, path) as (key, [(path, host and path, verdict)]) in the order of keys, of a key the longest path first."""
+    held: dict[str, list[tuple[str, str, str]]] = {}
+    for verdict, host, path in sorted(rules, key=lambda r: (-len(r[2]), r[2], r[0] != "block")):
+        if host:
+            held.setdefault(host_key(host), []).append((path, host + path, verdict))
+    return sorted(held.items())
+
+
+def _sweep(rules: list[tuple[str, list[tuple[str, str, str]]]]):
+    """A function over urls sorted by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, stack = None, []
+        at, stack = 0, []
         for batch in batches:
             out = []
-            for part, key, rule, page, host, path in zip(*(batch.column(c).to_pylist() for c in ("range", "key", "n", "page_id", "host", "path")), strict=True):
-                if part != now:
-                    now, stack = part, []
+            for key, page, host, path in zip(*(batch.column(c).to_pylist() for c in ("key", "page_id", "host", "path")), strict=True):
+                while at < len(rules) and rules[at][0] <= key:
+                    while stack and not rules[at][0].startswith(stack[-1][0]):
+                        stack.pop()
+                    stack.append(rules[at])
+                    at += 1
                 while stack and not key.startswith(stack[-1][0]):
                     stack.pop()
-                if rule >= 0:
-                    verdict, h, p = rules[rule]
-                    if not stack or stack[-1][0] != host_key(h):
-                        stack.append((host_key(h), []))
-                    stack[-1][1].append((-len(p), verdict != "block", p, h, verdict))
-                    stack[-1][1].sort()
-                    continue
-                fit = None
-                if host:
-                    fit = next(((h + p, verdict) for _, held in reversed(stack) for _, _, p, h, verdict in held if path.startswith(p)), None)
+                fit = next(((rule, verdict) for _, held in reversed(stack) for p, rule, verdict in held if path.startswith(p)), None) if host else None
                 out.append((page, host, path, *(fit or (None, "allow"))))
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], ["page_id", "host", "path", "rule", "verdict"])
@@ -71,34 +77,17 @@ def _sweep(rules: Sequence[tuple[str, str, str]]):
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """Returns page_id, host, path, rule (host and path, or null) and verdict for each row."""
+    """rules: (verdict, host, path). Returns page_id, host, path, rule (host and path, or null) and verdict for each row."""
+    if len(rules) > RULES:
+        raise ValueError(f"{len(rules)} rules; a list that goes to every task may have {RULES}")
     spark = pages.sparkSession
     bounded_batches(spark)
-    url = F.col("url")
-    host, path = host_and_path(url)
+    host, path = host_and_path(F.col("url"))
     urls = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url")).select("page_id", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
     key = F.when(F.col("host") == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split("host", "\\.", -1)), "."), F.lit(".")))
-    # ' ' sorts before all that a label may hold, so a host's pages come before those of its subdomains
-    urls = urls.withColumn("key", key).withColumn("at", F.concat("key", F.lit(" "), "path", F.lit(" "), F.format_string("%020d", F.coalesce("page_id", F.lit(0)))))
-    n = min(RANGES, max(1, urls.count() // RANGE_ROWS))
-    sample = [r.at for r in urls.select("at", F.xxhash64("at").alias("h")).orderBy("h", "at").limit(n * SAMPLE).select("at").collect()]
-    sample.sort()
-    cuts = np.array(sample[SAMPLE // 2 :: SAMPLE][: n - 1], dtype=object) if n > 1 else np.array([], dtype=object)
-    shared = spark.sparkContext.broadcast(cuts)  # at most RANGES keys
-
-    @F.pandas_udf("int")
-    def range_of(at: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(shared.value, at.to_numpy(dtype=object), "right").astype("int32"))
-
-    order = sorted(range(len(rules)), key=lambda i: rules[i][1:])
-    held = []
-    for i in order:
-        k = host_key(rules[i][1])
-        low, high = int(np.searchsorted(cuts, k, "left")), int(np.searchsorted(cuts, k[:-1] + "/", "left"))  # '/' follows '.'
-        held += [(p, k, i, None, rules[i][1], rules[i][2]) for p in range(low, high + 1)] if k else []
-    schema = "range int, key string, n int, page_id long, host string, path string"
-    rows = urls.select(range_of("at").alias("range"), "key", F.lit(-1).alias("n"), "page_id", "host", "path")
-    both = rows.unionByName(spark.createDataFrame(held, schema)) if held else rows
-    width = max(1, len(cuts) + 1)
-    swept = both.repartition(width, "range").sortWithinPartitions("range", "key", F.col("n") < 0, "path", "page_id")
-    return swept.mapInArrow(_sweep(list(rules)), _COLUMNS)
+    # the row's own place in the hash keeps copies of one url apart
+    spread = F.xxhash64("page_id", "path", F.monotonically_increasing_id())
+    urls = urls.withColumn("key", key).withColumn("begin", F.substring("key", 1, KEY_CHARS)).withColumn("spread", spread)
+    parts = max(spark.sparkContext.defaultParallelism, pages.count() // RANGE_ROWS)
+    dealt = urls.repartitionByRange(parts, "begin", "spread").drop("begin", "spread").sortWithinPartitions("key", "path", "page_id")
+    return dealt.mapInArrow(_sweep(ordered(rules)), _COLUMNS)
