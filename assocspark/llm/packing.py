@@ -1,13 +1,15 @@
 """Packing of token ids into sequences of at most `size` by Karmarkar-Karp multiway differencing.
 
 Each task tokenizes its own rows as they come; nothing is shuffled. Full sequences are cut from a
-document's front. Its rest is cut into equal pieces of at most PIECE ids (smaller at a block's end), and blocks of pieces worth
-WINDOWS almost full sequences are split by differencing: the two partial partitions with the
-largest imbalance merge, largest sums against smallest, until one near-equal partition is left.
-A window above the capacity makes the block try again with one window more.
-
-Defined cases: null or empty text is the end id alone. Repeated rows are packed each. Nothing but
-id and text of the input is used. An empty table gives an empty result. Piece order and sequence
+document's front. What rests of documents stays whole and is gathered into blocks worth exactly WINDOWS sequences (the
+document that a block's end falls into is cut there). A block is split by differencing: the two partial partitions with the
+largest imbalance merge, largest sums against smallest, until one near-equal partition is left. Its sums differ by
+little, so a window that is above the capacity gives the end of its longest piece to windows below it: only what differencing
+cannot place is cut. Without leave to cut (`fill`), a window above the capacity makes the block try again with one window more.
+
+Defined cases: null or empty text is the end id alone. Repeated rows are packed each, as are rows with a null id. A very long
+text's ids are held by its task alone, 4 bytes each. Columns other than id and text play no part, whatever their names.
+An empty table gives an empty result. Piece order and sequence
 ids depend on the input's partitions, which Spark rebuilds alike when an executor is lost.
 """
 
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 SIZE, END_ID = 2048, 1
-#: A block's pieces have at most PIECE ids, its last FINE ids at most 23, so that small pieces can even out the sums.
-PIECE, FINE, WINDOWS, SLACK = 256, 4096, 32, 1
+#: Sequences to a block. Only the last block of a task is not worth exactly as many.
+WINDOWS = 32
 #: Fixed value: the public splitting pattern of byte-level BPE.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
@@ -103,22 +105,50 @@ def fill(sizes: list[int], size: int) -> list[list[int]]:
         ways += 1
 
 
-def _pack(path: str, size: int):
+def level(sizes: list[int], size: int) -> list[list[tuple[int, int, int]]]:
+    """Groups of (item, first, length) of at most `size` each, as few as the sum allows: differencing places whole items, and
+    a group that is too full gives the end of its longest items to groups with room, in the order of both."""
+    groups = [[(i, 0, sizes[i]) for i in g] for g in difference(sizes, max(1, -(-sum(sizes) // size)))]
+    over: list[tuple[int, int, int]] = []
+    for g in groups:
+        g.sort(key=lambda p: (p[2], p[0]))
+        extra = sum(p[2] for p in g) - size
+        while extra > 0:
+            i, at, n = g.pop()
+            cut = min(n, extra)
+            over.append((i, at + n - cut, cut))
+            if n > cut:
+                g.append((i, at, n - cut))
+            extra -= cut
+    for g in groups:
+        room = size - sum(p[2] for p in g)
+        while room > 0 and over:
+            i, at, n = over.pop()
+            g.append((i, at, min(n, room)))
+            if n > room:
+                over.append((i, at + room, n - room))
+            room -= min(n, room)
+    return [g for g in groups if g]
+
+
+def _pack(path: str, size: int, whole: bool):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches):
         serial = TaskContext.get().partitionId() << 33
-        block: list[tuple[int, int, int, int, int]] = []
-        held, room = 0, WINDOWS * (size - SLACK)
+        block: list[tuple[int, int, np.ndarray, int]] = []  # document, start, ids, the document's number of ids
+        held, room = 0, WINDOWS * size
         out: list[tuple] = []
 
         def flush():
             nonlocal serial, held
-            for group in fill([p[2] for p in block], size):
+            sizes = [len(p[2]) for p in block]
+            for group in [[(i, 0, sizes[i]) for i in g] for g in fill(sizes, size)] if whole else level(sizes, size):
                 at = 0
-                for i in group:
-                    out.append((*block[i], serial, at))
-                    at += block[i][2]
+                for i, first, n in group:
+                    doc, start, ids, total = block[i]
+                    out.append((doc, start + first, n, zlib.crc32(ids[first : first + n].tobytes()), total, serial, at))
+                    at += n
                 serial += 1
             block.clear()
             held = 0
@@ -133,19 +163,19 @@ def _pack(path: str, size: int):
                 ids = token_ids(text.as_py(), path)
                 n, at = len(ids), 0
                 while at < n:
-                    rest = n - at
-                    small = 1 + len(block) * 7 % 23 if room - held < FINE else PIECE
-                    length = size if rest >= size else min(-(-rest // -(-rest // small)), room - held)
-                    piece = doc, at, length, zlib.crc32(ids[at : at + length].tobytes()), n
-                    if length == size:
-                        out.append((*piece, serial, 0))
+                    if n - at >= size:
+                        out.append((doc, at, size, zlib.crc32(ids[at : at + size].tobytes()), n, serial, 0))
                         serial += 1
-                    else:
-                        block.append(piece)
-                        held += length
-                        if held == room:
-                            flush()
+                        at += size
+                        continue
+                    if whole and held + n - at > room:
+                        flush()
+                    length = min(n - at, room - held)
+                    block.append((doc, at, ids[at : at + length].copy(), n))
+                    held += length
                     at += length
+                    if held == room:
+                        flush()
             if len(out) >= 20_000:
                 yield batch_of()
         if block:
@@ -155,8 +185,8 @@ def _pack(path: str, size: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. whole: what rests of a document is never cut."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_pack(tokenizer, size), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return rows.mapInArrow(_pack(tokenizer, size, whole), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
