@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality_rules import let
 
 SHINGLE, PERCENT = 5, 80
+#: Bits of a bitmap of keys: 2 MB.
+MAP_BITS = 1 << 24
 #: Between words; the same pattern works in other SQL engines.
 BETWEEN = "[^\\p{L}\\p{N}]+"
 
@@ -51,3 +53,17 @@ def minima(shingles: Column, percent: int = PERCENT) -> Column:
     upper = F.pow(F.lit(2.0), size_class(F.size(shingles))).cast("int")
     need = upper - F.ceil(upper * percent / 100).cast("int") + 1
     return F.slice(F.array_sort(shingles), 1, F.greatest(need, F.lit(1)))
+
+
+def bitmap(keys: DataFrame, bits: int = MAP_BITS) -> Column:
+    """A test of the column `shingle` that is true of every key of keys (shingle), and of others with a chance of keys / bits.
+
+    The bits are one row, so they reach the tasks as the value of a scalar subquery: bits / 8 bytes."""
+    where = lambda h: h.bitwiseAND(F.lit(bits - 1))
+    spot = where(F.col("shingle"))
+    words = keys.groupBy(F.shiftright(spot, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int"))).alias("w"))
+    every = keys.sparkSession.range(bits >> 6).withColumnRenamed("id", "at").join(words, "at", "left")
+    row = every.groupBy().agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("w", F.lit(0)).alias("w")))).alias("x"))
+    held = row.select(F.col("x.w").alias("x")).scalar()
+    word = F.get(held, F.shiftright(spot, 6).cast("int"))
+    return F.call_function("shiftright", word, spot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
