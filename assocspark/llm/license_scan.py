@@ -1,58 +1,87 @@
-"""License notices in documents: MinHash bands over overlapping text windows retrieve templates.
+"""License notices and texts in documents: MinHash bands over overlapping text windows retrieve templates.
 
-A template of m shingles is looked for in windows of 2m shingles that start every m, so that an
-occurrence always lies in one of them. Bands have one row. Their number is set so that a window
-with `percent` of a template collides with certainty: the template side has as many minima as its
-size partition needs, and notices are so short that the window side needs all of its shingles, which
-overlapping windows share. Each retrieved window is verified by exact shingle containment.
+Templates are dealt into size classes: a class holds templates of more than `stride` and at most 2 * stride shingles. For each
+class that has any, a document is cut into blocks of stride shingles, and a window is SPAN blocks in a row, so every place
+where such a template may lie is inside one window. A window's sketch is one-permutation MinHash: the shingle hashes
+are told apart by their top bits into BINS bins, and each bin's least hash is a band of one row. A template and a window that
+share a band make a candidate. A window with `percent` of a template has a similarity J to it of at least
+(0.8 stride) / (3 stride + 0.2 stride) = 1/4 (1/3 with a whole copy of the shortest template, 2/3 of the longest), and BINS = 32
+bands miss it with probability (1 - J) ** 32: 1e-4, 2e-6 and 1e-15. Each candidate is verified by exact shingle containment.
 
-Defined cases: null or empty texts have no windows. A template of fewer than five words is one
-shingle of all of them. Repeated rows of an id count as one text each; their windows are reported
-once. Extra columns play no part. Empty tables give an empty result.
+Notices of at most SHORT shingles, such as one line, are shorter than a sketch: their windows of 2m shingles at every
+m are compared by all of their shingles with the least hashes of the notice, as many as its size needs, so none is missed.
+
+Shingles are compared by 64 bits of hash. Defined cases: null or empty texts have no windows. A template of fewer than five
+words is one shingle of all of them. Repeated rows of an id count as one text each; their windows are reported
+once. Rows with a null id are in no result. A very long text is one array of 8 bytes a word within its row. Columns other than id and
+text play no part, whatever their names. Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_side, written
-from .decontamination import _positions, sketches
-from .shingles import PERCENT, SHINGLE
-
-#: Names and texts of common notices.
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("MIT", "Released under the MIT License"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("MIT-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("all-rights-reserved", "All rights reserved"),
-]
+from .decontamination import _positions, rows_of, sketches
+from .license_texts import NOTICES, TEXTS
+from .quality_rules import let
+from .shingles import PERCENT, SHINGLE, shingle_hashes, word_hashes
+
+TEMPLATES = NOTICES + TEXTS
+SHORT, SPAN, BIN_BITS = 16, 3, 5
+
+
+def bin_minima(hashes: Column) -> Column:
+    """The least hash of each bin; bins are the values of the top BIN_BITS bits, so they follow each other in a sorted array."""
+    top = lambda h: F.shiftright(h, 64 - BIN_BITS)
+    return let(F.sort_array(hashes), lambda x: F.filter(x, lambda h, i: (i == 0) | (top(h) != top(F.get(x, i - 1)))))
+
+
+def _windows(docs: DataFrame, stride: int, percent: int) -> DataFrame:
+    """(doc_id, window, key): the bands of each window of a class."""
+    least = -(-percent * (stride + 1) // 100)  # shingles that a document with a template of the class has at least
+    rows = docs.select("doc_id", word_hashes(F.col("text")).alias("h")).where(F.size("h") >= least + SHINGLE - 1).select("doc_id", shingle_hashes(F.col("h"), SHINGLE).alias("s"))
+    last = F.floor((F.size("s") - 1) / stride).cast("int")
+    blocks = let(F.col("s"), lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / stride).cast("int")), lambda i: bin_minima(F.slice(s, i * stride + 1, F.lit(stride)))))
+    rows = rows.select("doc_id", last.alias("last"), blocks.alias("b"))
+    nothing = F.array().cast("array<bigint>")
+    window = lambda b, i: bin_minima(F.concat(*(F.coalesce(F.get(b, i + j), nothing) for j in range(SPAN))))
+    sketch = let(F.col("b"), lambda b: F.transform(F.sequence(F.lit(0), F.size(b) - 1), lambda i: window(b, i)))
+    return rows.select("doc_id", F.posexplode(sketch).alias("window", "keys")).select("doc_id", "window", F.explode("keys").alias("key"))
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, license, n_shingles, n_shared (in the best window), n_windows, first_word: for each notice that a document holds."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """doc_id, license, n_shingles, n_shared (in the best window), n_windows, first_word: for each template that a document holds."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     items = docs.sparkSession.createDataFrame(templates or TEMPLATES, "item_id string, text string")
-    known = written(sketches(items, percent=percent), "templates")
-    lengths = sorted(r.k for r in known.select("k").distinct().collect()) or [SHINGLE]  # 1 to 5
-    keys = known.select("item_id", "k", "n", F.explode("keys").alias("shingle"))
+    known = sketches(items, percent=percent)
+    brief = F.col("n") <= SHORT
+    stride = F.when(brief, F.col("n")).otherwise(F.pow(F.lit(2.0), F.col("part") - 1).cast("int"))
+    known = written(known.withColumn("brief", brief).withColumn("stride", stride).withColumn("span", F.when(brief, 2).otherwise(SPAN)), "templates")
+    lengths = sorted(r.k for r in known.where("brief").select("k").distinct().collect())  # 1 to 5
+    classes = sorted(r.stride for r in known.where("not brief").select("stride").distinct().collect())  # powers of two
+    keys = known.where("brief").select("item_id", "k", "n", "stride", "span", F.explode("keys").alias("shingle"))
 
     def windows(hits: DataFrame) -> DataFrame:
         """Each hit with the windows it is in."""
-        last = F.floor(F.col("pos") / F.col("n")).cast("int")
-        return hits.withColumn("window", F.explode(F.array_distinct(F.array(F.greatest(last - 1, F.lit(0)), last))))
+        last = F.floor(F.col("pos") / F.col("stride")).cast("int")
+        return hits.withColumn("window", F.explode(F.sequence(F.greatest(last - F.col("span") + 1, F.lit(0)), last)))
 
-    found = windows(_positions(docs, lengths).join(small_side(keys), ["k", "shingle"])).select("doc_id", "item_id", "window").distinct()
-    found = written(found, "windows")
+    found = []
+    if lengths:
+        found.append(windows(_positions(docs, lengths).join(small_side(keys), ["k", "shingle"])).select("doc_id", "item_id", "window"))
+    for c in classes:
+        bands = known.where(~F.col("brief") & (F.col("stride") == c)).select("item_id", F.explode(bin_minima(F.col("shingles"))).alias("key"))
+        found.append(_windows(docs, c, percent).join(small_side(bands), "key").select("doc_id", "item_id", "window"))
+    found = written(reduce(DataFrame.union, found).distinct(), "windows")
     again = docs.join(small_side(found.select("doc_id").distinct()), "doc_id", "left_semi")
-    whole = known.select("item_id", "k", "n", F.explode("shingles").alias("shingle"))
-    hits = windows(_positions(again, lengths).join(small_side(whole), ["k", "shingle"])).join(small_side(found), ["doc_id", "item_id", "window"], "left_semi")
-    held = hits.groupBy("doc_id", "item_id", "window", "shingle").agg(F.max("n").alias("n"), F.min("pos").alias("pos")).groupBy("doc_id", "item_id", "window").agg(F.max("n").alias("n"), F.count("*").alias("shared"), F.min("pos").alias("pos"))
-    held = held.where(100 * F.col("shared") >= percent * F.col("n"))
+    whole = known.select("item_id", "k", "n", "stride", "span", F.explode("shingles").alias("shingle"))
+    every = sorted({*lengths, *([SHINGLE] if classes else [])}) or [SHINGLE]
+    hits = windows(_positions(rows_of(again), every).join(small_side(whole), ["k", "shingle"]))
+    hits = hits.select(F.col("doc_id").alias("row"), F.col("doc_id.doc_id").alias("doc_id"), "item_id", "window", "shingle", "n", "pos").join(small_side(found), ["doc_id", "item_id", "window"], "left_semi")
+    held = hits.groupBy("row", "doc_id", "item_id", "window", "shingle").agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
+    held = held.groupBy("row", "doc_id", "item_id", "window").agg(F.max("n").alias("n"), F.count("*").alias("shared"), F.min("pos").alias("pos")).where(100 * F.col("shared") >= percent * F.col("n"))
     return held.groupBy("doc_id", F.col("item_id").alias("license")).agg(F.max("n").cast("long").alias("n_shingles"), F.max("shared").alias("n_shared"), F.count("*").alias("n_windows"), F.min("pos").cast("long").alias("first_word"))
