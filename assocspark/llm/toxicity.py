@@ -1,13 +1,19 @@
 """Toxicity of texts that may be written in leetspeak, spaced out or with repeated letters.
 
-A trigram model of characters is counted over all texts. A token that mixes letters with leet
-signs, has a letter three times in a row, or is a run of single letters becomes a lattice of
-readings; Viterbi decoding under the model picks one, and the restored text is scored with log
-odds of words and word beginnings learnt from labelled texts (at most train_rows of them).
+A trigram model of characters is counted over all texts. A token with anything but letters in it, or with a
+letter twice in a row, and a run of single letters, becomes a lattice of readings: a sign is a letter, or at the token's edge or between letters
+nothing or a blank; a repeated letter stands once or twice. Viterbi decoding under the model picks one, and the plain reading
+stays where it is likeliest. Words that the scorer knows are a word model: a lattice that spells one is read so unless another
+reading is likelier by WORD_BONUS. The restored text is scored by logistic regression over counts of words and word beginnings, learnt from the restored
+texts of labelled rows (at most train_rows of them); its weights are evidence for and against, and its outputs are calibrated as probabilities on them.
+
+Limits: words split into parts of several letters by blanks ("id iot") stay split, and a token with less than a third of letters is read as a number.
 
 Defined cases: null and empty texts get the score of a text without any known word. Labels that
-are null, or whose document is missing, teach nothing. Without any usable label every score is
-0.0. Repeated rows are scored alike. Of repeated labels the smallest counts.
+are null, or whose document is missing, teach nothing. Without any usable toxic and clean label every score is
+0.0. Repeated rows are scored alike. Of repeated labels the smallest counts; of rows that share a labelled id at most train_rows teach. Letters outside a-z are
+letters to the lattice, and one symbol to the model. A very long text is one Arrow value and one string in its task. Columns other than id and
+text play no part, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,11 +34,17 @@ from .kernels import buffers, joined, utf8
 
 #: Labelled rows that teach the scorer, chosen by a hash of the id.
 TRAIN_ROWS = 20_000
-#: Word features kept, by how many toxic texts have them; a feature must be in MIN_TOXIC of them.
-FEATURES, MIN_TOXIC, PRECISION = 20_000, 3, 0.8
-PREFIXES = (4, 5, 6)
-#: What a sign may stand for.
+#: Features kept, those that tell classes apart best among those that MIN_TOXIC toxic texts have.
+FEATURES, MIN_TOXIC = 2_000, 3
+PREFIXES = (4, 5, 6, 8)
+#: Training: weight of the squared weights, steps, and their size.
+RIDGE, STEPS, RATE = 1.0, 300, 0.05
+#: What a sign may stand for, and log probabilities of a sign at a token's edge that stands for nothing.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou"}
+EDGE_SIGN = {"!": 0.0, "|": 0.0, "+": 0.0, "*": -1.0, "@": -3.0, "$": -3.0}
+EDGE_DIGIT, WORD_BONUS = -2.0, 6.0
+#: Tokens whose features a task remembers.
+REMEMBERED = 300_000
 
 _SYMBOLS = 28  # 0: outside of a word, 1-26: a-z, 27: any other letter
 _CODE = np.zeros(256, np.int32)
@@ -41,8 +53,8 @@ _CODE[128:] = 27
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+])(?:[ .\-_*]{1,2}(?:[^\W_]|[@$!|+])){2,}(?![^\W_])")
-_ODD = re.compile(r"([^\W\d_])\1\1|[^\W\d_][0-9@$!|+*]+[^\W\d_]|(?<!\S)[0-9@$!|+*]{1,3}[^\W\d_]")
-_EDGE = ".,;:?\"'()[]{}<>&%#=~^/\\"
+_ODD = re.compile(r"[\W\d_]|(.)\1")
+_EDGE = ".,;:?\"'()[]{}<>&%#=~^/\\-_"
 
 
 def count_trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -66,60 +78,6 @@ def count_trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return out
 
 
-def _features(text: str) -> set[str]:
-    out = set()
-    for w in set(_WORD.findall(text)):
-        out.add("=" + w)
-        out.update(w[:k] for k in PREFIXES if len(w) >= k)
-    return out
-
-
-def _cover(has: list[set[str]], counts: dict[str, tuple[int, int]]) -> list[str]:
-    """Features that together are in as many of the toxic texts as can be, greedily, so that words which only come along with a telling one, or with copies of one text, are left out."""
-    open_, chosen = has, []
-    while True:
-        n = Counter(w for s in open_ for w in s)
-        best = max(n, key=lambda w: (n[w] - counts[w][1], counts[w][0], -len(w), w), default=None)
-        if best is None or n[best] - counts[best][1] < 2:
-            return chosen
-        chosen.append(best)
-        open_ = [s for s in open_ if best not in s]
-
-
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, held_out: int = 5) -> dict:
-    """{feature: log odds} and the log odds of a text without features. Rows with crc32(id as text) mod held_out = 0 teach nothing."""
-    labels = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
-    labels = labels.where(F.crc32(F.col("id").cast("string")) % held_out != 0).groupBy("id").agg(F.min("toxic").alias("toxic"))
-    sample = F.broadcast(labels.orderBy(F.xxhash64("id"), "id").limit(train_rows))  # at most train_rows pairs of numbers
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col).cast("string")).alias("text")).join(sample, "id").select("toxic", "text")
-
-    def run(batches):
-        count = Counter(), Counter()
-        seen = [0, 0]
-        for batch in batches:
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                count[toxic].update(_features(text or ""))
-                seen[toxic] += 1
-        keys = list(count[0].keys() | count[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(["", *keys]), pa.array([seen[0], *(count[0][k] for k in keys)], pa.int64()), pa.array([seen[1], *(count[1][k] for k in keys)], pa.int64())], ["feature", "clean", "toxic"])
-
-    totals = texts.mapInArrow(run, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    wanted = totals.where((F.col("feature") == "") | (F.col("toxic") >= MIN_TOXIC) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean"))))
-    rows = wanted.orderBy(F.col("feature") != "", F.col("toxic").desc(), "feature").limit(FEATURES + 1).collect()
-    clean, toxic = next(((r.clean, r.toxic) for r in rows if r.feature == ""), (0, 0))
-    if not toxic:
-        return {"odds": {}, "base": -math.inf}
-    counts = {r.feature: (r.toxic, r.clean) for r in rows if r.feature}
-
-    def which(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(_features(t or "") & counts.keys()) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], ["features"])
-
-    has = [set(r.features) for r in texts.where("toxic = 1").mapInArrow(which, "features array<string>").collect()]  # at most train_rows
-    odds = {w: math.log((counts[w][0] + 0.5) / (toxic + 1)) - math.log((counts[w][1] + 0.5) / (clean + 1)) for w in _cover(has, counts)}
-    return {"odds": odds, "base": math.log((toxic + 0.5) / (clean + 0.5)) - 2}
-
-
 def language_model(counts: np.ndarray) -> np.ndarray:
     """Log probability of a symbol after two others, smoothed."""
     n = counts.reshape(_SYMBOLS * _SYMBOLS, _SYMBOLS).astype(float)
@@ -128,77 +86,200 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return np.log((n + 8 * np.tile(back, (_SYMBOLS, 1))) / (n.sum(axis=1, keepdims=True) + 8))
 
 
-def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest reading of a lower-case token: signs as letters, gaps dropped or kept as a blank, repeats once or twice."""
-    lattice: list[list[str]] = []
-    at = 0
-    while at < len(token):
-        c, end = token[at], at
-        while end < len(token) and token[end] == c:
-            end += 1
+def lattice(token: str) -> list[list[tuple[str, float]]]:
+    """For each place of a lower-case token what may be read there, with its log probability besides the language model's."""
+    runs: list[tuple[str, int]] = []
+    for c in token:
+        if runs and runs[-1][0] == c:
+            runs[-1] = c, runs[-1][1] + 1
+        else:
+            runs.append((c, 1))
+    letters = [i for i, (c, _) in enumerate(runs) if c.isalpha()] or [len(runs)]
+    out: list[list[tuple[str, float]]] = []
+    for i, (c, n) in enumerate(runs):
         if c.isalpha():
-            lattice.append([c] if end - at == 1 else [c, c + c])
+            out.append([(c, 0.0)] if n == 1 else [(c, 0.0), (c + c, 0.0)])
         elif c in LEET:
-            lattice.extend([list(LEET[c])] * (1 if end - at > 2 else end - at))
+            reads = [(x, 0.0) for x in LEET[c]]
+            if not letters[0] < i < letters[-1]:
+                reads.append(("", EDGE_SIGN.get(c, EDGE_DIGIT)))
+            out.extend([reads] * min(n, 2))
         else:
-            lattice.append(["", " "])
-        at = end
+            out.append([("", 0.0), (" ", 0.0)])
+    return out
+
+
+def _symbol(c: str) -> int:
+    return ord(c) - 96 if "a" <= c <= "z" else 0 if c == " " else 27
+
+
+def score_reading(text: str, model: list[float], extra: float = 0.0) -> float:
+    """Log probability of a reading between blanks under the flattened model."""
+    x = y = 0
+    for c in text + " ":
+        z = _symbol(c)
+        extra += model[(x * _SYMBOLS + y) * _SYMBOLS + z]
+        x, y = y, z
+    return extra
+
+
+def decode(token: str, model: list[float], words: dict | None = None) -> str:
+    """The likeliest reading of a lower-case token. words: a trie of known words, {letter: trie, "": word}."""
+    places = lattice(token)
     best = {(0, 0): (0.0, "")}
-    for options in [*lattice, [" "]]:
+    for options in [*places, [(" ", 0.0)]]:
         after: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, text) in best.items():
-            for o in options:
-                x, y, s = a, b, score
+            for o, cost in options:
+                x, y, s = a, b, score + cost
                 for c in o:
-                    z = ord(c) - 96 if "a" <= c <= "z" else 0 if c == " " else 27
-                    s += model[x * _SYMBOLS + y, z]
+                    z = _symbol(c)
+                    s += model[(x * _SYMBOLS + y) * _SYMBOLS + z]
                     x, y = y, z
-                if (x, y) not in after or (s, text + o) > after[x, y]:
+                have = after.get((x, y))
+                if have is None or (s, text + o) > have:
                     after[x, y] = s, text + o
         best = after
-    return max(best.values())[1].strip()
+    score, text = max(best.values())
+    if words:
+        nodes = {id(words): (words, 0.0)}
+        for options in places:
+            step: dict[int, tuple[dict, float]] = {}
+            for node, at in nodes.values():
+                for o, cost in options:
+                    to = node
+                    for c in o:
+                        to = to.get(c)
+                        if to is None:
+                            break
+                    if to is not None and (id(to) not in step or step[id(to)][1] < at + cost):
+                        step[id(to)] = to, at + cost
+            nodes = step
+            if not nodes:
+                break
+        known = [(score_reading(node[""], model, at), node[""]) for node, at in nodes.values() if "" in node]
+        if known and max(known)[0] + WORD_BONUS >= score:
+            return max(known)[1]
+    return text.strip()
+
+
+def trie(words) -> dict:
+    root: dict = {}
+    for w in words:
+        node = root
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = w
+    return root
+
+
+class Reader:
+    """Restores texts and takes features out of them. keep: {feature: anything} to look features up in, or None for all."""
+
+    def __init__(self, model: np.ndarray, keep: dict | None = None, words: dict | None = None):
+        self.model, self.keep, self.words = model.ravel().tolist(), keep, words
+        self.known: dict[str, tuple] = {}
+
+    def restore(self, token: str) -> str:
+        """A lower-case token without what surrounds it, decoded if it is odd."""
+        core = token.strip(_EDGE)
+        if _ODD.search(core) is None or 3 * sum(map(str.isalpha, core)) < len(core):
+            return core
+        return decode(core, self.model, self.words)
+
+    def of_token(self, token: str) -> tuple:
+        found = self.known.get(token)
+        if found is None:
+            names = [f for w in _WORD.findall(self.restore(token)) for f in ("=" + w, *(w[:k] for k in PREFIXES if len(w) >= k))]
+            found = tuple(names) if self.keep is None else tuple(self.keep[f] for f in names if f in self.keep)
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[token] = found
+        return found
+
+    def tokens(self, text: str | None) -> list[str]:
+        return _SPACED.sub(lambda m: decode(m[0], self.model, self.words), (text or "").lower()).split()
+
+    def features(self, text: str | None) -> Counter:
+        out: Counter = Counter()
+        for token, n in Counter(self.tokens(text)).items():
+            for f in self.of_token(token):
+                out[f] += n
+        return out
+
+
+def fit(rows: list[tuple[int, list[int], list[float]]], width: int) -> tuple[np.ndarray, float]:
+    """Weights and bias of a ridge logistic regression on sparse rows (label, columns, values)."""
+    y = np.array([r[0] for r in rows], float)
+    at = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
+    col = np.array([c for r in rows for c in r[1]], np.int64)
+    val = np.array([v for r in rows for v in r[2]], float)
+    w = np.zeros(width + 1)
+    w[-1] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    mean, square = np.zeros_like(w), np.zeros_like(w)
+    for t in range(1, STEPS + 1):
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(at, val * w[col], len(y)) + w[-1], -50, 50)))
+        g = np.append(np.bincount(col, val * (p - y)[at], width) + RIDGE * w[:-1], (p - y).sum())
+        mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
+        w -= RATE * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
+    return w[:-1], float(w[-1])
+
+
+def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, held_out: int = 5) -> dict:
+    """{feature: weight} and the bias, or no bias without labels of both kinds. Rows with crc32(id as text) mod held_out = 0 teach nothing."""
+    labels = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
+    labels = labels.where(F.crc32(F.col("id").cast("string")) % held_out != 0).groupBy("id").agg(F.min("toxic").alias("toxic"))
+    sample = F.broadcast(labels.orderBy(F.xxhash64("id"), "id").limit(train_rows))  # at most train_rows pairs of numbers
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(sample, "id").select("toxic", "text")
+    known = docs.sparkSession.sparkContext.broadcast(model)
 
+    def run(batches):
+        reader, count, seen = Reader(known.value), (Counter(), Counter()), [0, 0]
+        for batch in batches:
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                count[toxic].update(reader.features(text.as_py()).keys())
+                seen[toxic] += 1
+        keys = list(count[0].keys() | count[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(["", *keys]), pa.array([seen[0], *(count[0][k] for k in keys)], pa.int64()), pa.array([seen[1], *(count[1][k] for k in keys)], pa.int64())], ["feature", "clean", "toxic"])
 
-def restore(text: str, model: np.ndarray) -> str:
-    """The lower-case text with each disguised token or run of single letters replaced by its likeliest reading."""
-    text = _SPACED.sub(lambda m: decode(m[0], model), text)
-    if _ODD.search(text) is None:
-        return text
-    known: dict[str, str] = {}
+    totals = texts.mapInArrow(run, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    seen = texts.groupBy("toxic").count().collect()  # two rows
+    clean, toxic = (max([r["count"] for r in seen if r.toxic == k], default=0) for k in (0, 1))
+    if not toxic or not clean:
+        return {"weights": {}, "bias": None}
+    apart = (F.col("toxic") / toxic - F.col("clean") / clean) / F.sqrt(F.col("toxic") + F.col("clean") + 1)
+    rows = totals.where((F.col("feature") != "") & (F.col("toxic") >= MIN_TOXIC)).orderBy(apart.desc(), "feature").limit(FEATURES).collect()
+    place = {r.feature: i for i, r in enumerate(rows)}
 
-    def read(token: str) -> str:
-        core = token.strip(_EDGE).rstrip("!$*+|")
-        if not core or _ODD.search(core) is None:
-            return token
-        if core not in known:
-            known[core] = decode(core, model)
-        return known[core]
+    def which(batches):
+        reader = Reader(known.value, place)
+        for batch in batches:
+            found = [sorted(reader.features(t.as_py()).items()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array([[i for i, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[math.log1p(n) for _, n in f] for f in found], pa.list_(pa.float64()))], ["toxic", "at", "value"])
 
-    return " ".join(map(read, text.split()))
+    # one row for each taught text, of FEATURES numbers at most; in a fixed order, so that sums are the same each time
+    taught = texts.mapInArrow(which, "toxic int, at array<int>, value array<double>").orderBy("toxic", "at", "value").limit(train_rows).collect()
+    weights, bias = fit([tuple(r) for r in taught], len(place))
+    return {"weights": dict(zip(place, weights.tolist(), strict=True)), "bias": bias}
 
 
 def scorer(spark, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS):
     """A column function text -> score, with what it needs learnt from all of docs and the labels."""
     bounded_batches(spark)
-    known = spark.sparkContext.broadcast((language_model(count_trigrams(docs, text_col)), learn(docs, labels, id_col, text_col, train_rows)))
+    model = language_model(count_trigrams(docs, text_col))
+    known = spark.sparkContext.broadcast((model, learn(docs, labels, model, id_col, text_col, train_rows)))
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model, learnt = known.value
-        odds, base = learnt["odds"], learnt["base"]
-        whole = {k[1:]: v for k, v in odds.items() if k[0] == "="}
-        begins = {k: v for k, v in odds.items() if k[0] != "="}
-        starts = {k[:4] for k in begins}
+        weights, bias = learnt["weights"], learnt["bias"]
+        reader = Reader(model, {f: f for f in weights}, trie(f[1:] for f, w in weights.items() if f[0] == "=" and w > 0))
 
         def of(text: str) -> float:
-            text = text.lower()
-            total = base
-            for w in set(_WORD.findall(restore(text, model))):
-                best = whole.get(w, 0.0)
-                if w[:4] in starts:
-                    best = max(best, *(begins.get(w[:k], 0.0) for k in PREFIXES))
-                total += best
-            return 1 / (1 + math.exp(-min(total, 500))) if total > -500 else 0.0
+            if bias is None:
+                return 0.0
+            total = bias + math.fsum(weights[f] * math.log1p(n) for f, n in reader.features(text).items())
+            return 1 / (1 + math.exp(-min(max(total, -500.0), 500.0)))
 
         for part in parts:
             yield pd.Series([of(t if isinstance(t, str) else "") for t in part], dtype="float64")
