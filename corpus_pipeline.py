@@ -1,4 +1,8 @@
-"""documents to packed training sequences, in five stages. Each stage's rows are written as Parquet and read again as the next one's docs."""
+"""documents to packed training sequences, in five stages. Each stage's rows are written as Parquet and read again as the next one's docs.
+
+Null texts are clean, no near-duplicate, nothing to cut, and one end id when packed. Rows with a null id go through all
+stages. Repeated rows are one document after the second stage. Columns other than doc_id and text are carried along as they are,
+whatever their names; only n_chars follows the text."""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assocspark.llm import decontamination, near_dedup, packing, suffix_dedup, toxicity
-from assocspark.llm.common import new_path, small_side, table, written
+from assocspark.llm.common import delete, new_path, small_side, table, written
 from assocspark.llm.queries import TOKENIZER
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -26,13 +30,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each component; of rows that share an id, one."""
-    ids = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    twice = written(ids, "twice")
-    if not twice.isEmpty():
-        docs = _without(docs, twice).unionByName(docs.join(small_side(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    found = near_dedup.near_duplicates(docs, k=5, percent=80)
-    return _without(docs, found.where("not kept").select("doc_id"))
+    """One document of each component, by five words and a similarity of 0.8 (op9's contract has two words instead). Rows that
+    share an id are documents of their own unless their texts are equal too."""
+    return near_dedup.without_copies(docs, k=5, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,9 +63,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. What the stages before it wrote is deleted as soon as the next stage is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
