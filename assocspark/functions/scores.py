@@ -51,6 +51,13 @@ def seed_energy(norm: Column, importance: Column, p: Params = DEFAULT) -> Column
     return F.least(norm * p.a_query * (1 + importance * p.c_importance), F.lit(p.energy_cap))
 
 
+def initial_energy(channel: Column, query: Column, context: Column, importance: Column, freshness: Column, reliability: Column, p: Params = DEFAULT) -> Column:
+    """The full seed energy, of which seed_energy is the part that the engine uses."""
+    coefficient = F.when(channel == "SemanticDense", 1.2).when(channel == "SemanticBinary", 0.6).otherwise(1.0)
+    raw = coefficient * query * p.a_query * (1 + importance * p.c_importance) + context * p.b_context + freshness * p.d_freshness + reliability * p.e_reliability
+    return F.greatest(F.lit(0.0), F.least(raw, F.lit(p.energy_cap)))
+
+
 def passed_energy(energy: Column, strength: Column, confidence: Column, hop: int, link_type: Column, p: Params = DEFAULT) -> Column:
     return clamp01(energy * strength * confidence * p.hop_decay**hop * type_modifier(link_type))
 
@@ -66,7 +73,3 @@ def cold_start(total: Column, p: Params = DEFAULT) -> Column:
 
 def overlap_ratio(n: Column, dims: Column) -> Column:
     return F.least(F.lit(1.0), n / F.greatest(dims, F.lit(1)))
-
-
-def strengthen(strength: Column, times: Column, delta: float = 0.25) -> Column:
-    return F.least(F.lit(1.0), strength + delta * times)

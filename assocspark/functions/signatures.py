@@ -1,4 +1,4 @@
-"""Hash signatures. XXH3 isn't among Spark's functions, so these run on Arrow batches."""
+"""Hash signatures. XXH3 isn't among Spark's functions, so what needs it runs on Arrow batches; the digest family is SQL functions only."""
 
 from __future__ import annotations
 
@@ -46,7 +46,30 @@ def hash_embedding(text: Column, dim: int = DIM) -> Column:
     return run(tokens(text))
 
 
-def simhash(text: Column) -> Column:
+DIGEST_DIM = 32
+_HEX = "0123456789abcdef"
+
+
+def digest_embedding(text: Column) -> Column:
+    """Like hash_embedding, with the 32 hexadecimal digits of a token's MD5 as its vector: any SQL engine can say the same."""
+    digit = lambda h, i: (F.instr(F.lit(_HEX), F.substring(h, i, F.lit(1))) - 8.5).cast("double")
+    vector = lambda t: let(F.md5(t), lambda h: F.transform(F.sequence(F.lit(1), F.lit(DIGEST_DIM)), lambda i: digit(h, i)))
+    zero = F.array_repeat(F.lit(0.0), DIGEST_DIM)
+    total = F.aggregate(tokens(text), zero, lambda s, t: F.zip_with(s, vector(t), lambda x, y: x + y))
+
+    def unit(v: Column) -> Column:
+        size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+        return let(size, lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+
+    return let(F.coalesce(total, zero), unit)
+
+
+def digest_hash(token: Column) -> Column:
+    """60 bits of a token's MD5."""
+    return F.conv(F.substring(F.md5(token), 1, 15), 16, 10).cast("long")
+
+
+def simhash(text: Column, token_hash=F.xxhash64) -> Column:
     """64-bit SimHash of the tokens, in SQL functions: a bit is set if most token hashes have it."""
 
     def code(hashes: Column) -> Column:
@@ -54,11 +77,11 @@ def simhash(text: Column) -> Column:
         bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(vote(i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
         return F.aggregate(bits, F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b))
 
-    return let(F.transform(tokens(text), lambda t: F.xxhash64(t)), code)
+    return let(F.transform(tokens(text), lambda t: token_hash(t)), code)
 
 
 def simhash_similarity(a: Column, b: Column) -> Column:
     return 1 - F.bit_count(a.bitwiseXOR(b)) / 64
 
 
-__all__ = ["hash_embedding", "simhash", "simhash_similarity", "stable_hash"]
+__all__ = ["digest_embedding", "digest_hash", "hash_embedding", "simhash", "simhash_similarity", "stable_hash"]

@@ -23,6 +23,16 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), BETWEEN, -1), lambda x: x != "")
 
 
+def segments(text: Column) -> Column:
+    """Tokens, those of ideographs alone cut into overlapping pairs: there is no dictionary to cut them into words."""
+
+    def cut(x: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substring(x, i, F.lit(2)))
+        return F.when(x.rlike(r"^[\x{2E80}-\x{9FFF}\x{F900}-\x{FAFF}]{3,}$"), pairs).otherwise(F.array(x))
+
+    return F.flatten(F.transform(tokens(text), cut))
+
+
 def token_set(text: Column) -> Column:
     return F.array_distinct(tokens(text))
 
@@ -34,7 +44,7 @@ def entities(text: Column) -> Column:
 
 
 def topics(text: Column, n: int = 5) -> Column:
-    return F.slice(F.filter(tokens(text), lambda x: F.octet_length(x) >= 2), 1, n)
+    return F.slice(F.filter(segments(text), lambda x: F.octet_length(x) >= 2), 1, n)
 
 
 def importance(text: Column, content_type: Column) -> Column:
@@ -47,11 +57,16 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (text.contains(w) for w in words))
 
 
+def changes(q: Column) -> Column:
+    """Both halves of some locale's change pair are in the lower-case text."""
+    return reduce(lambda a, b: a | b, (q.contains(x) & q.contains(y) for x, y in lang.CHANGE_PAIRS), F.lit(False))
+
+
 def question_type(text: Column) -> Column:
     q = F.lower(text)
-    out = F.when(q.contains(lang.CHANGE_PAIR[0]) & q.contains(lang.CHANGE_PAIR[1]), "Correction")
-    for name, zh, en in lang.QUESTIONS:
-        out = out.when(contains_any(q, zh + en), name)
+    out = F.when(changes(q), "Correction")
+    for name, words in lang.QUESTIONS:
+        out = out.when(contains_any(q, words), name)
     return out.otherwise("None")
 
 
@@ -98,4 +113,16 @@ def what_subject(text: Column) -> Column:
     low = F.lower(text)
     heads = (F.when(low.contains(d), F.element_at(F.split(F.trim(F.substring(text, F.lit(1), F.locate(d, low) - 1)), r"\s+"), -1)) for d in lang.WHAT)
     subject = F.coalesce(*heads)
-    return F.when(F.octet_length(subject) >= 2, F.element_at(F.split(subject, "的"), -1))
+    for particle in lang.POSSESSIVE:
+        subject = F.when(F.octet_length(subject) >= 2, F.element_at(F.split(subject, particle), -1))
+    return F.when(F.octet_length(subject) >= 2, subject)
+
+
+def keywords(query: Column, n: int = 5) -> Column:
+    """Words that tell a query from others, n at most: first those with an upper-case letter or of three ASCII letters and
+    more, then runs of ideographs; stop words of all locales are left out."""
+    stop = F.array(*map(F.lit, sorted(set(lang.STOP))))
+    telling = lambda w: (F.octet_length(w) >= 2) & w.rlike(r"\p{Lu}") | w.rlike("^[A-Za-z]{3,}$")
+    words = F.filter(F.split(query, r"[^\p{L}\p{N}]+", -1), lambda w: telling(w) & ~F.array_contains(stop, F.lower(w)))
+    han = F.filter(F.split(query, r"[\s!-/:-@\[-`{-~？]+", -1), lambda w: w.rlike(r"^[^\x{0}-\x{2E80}]{2,}$") & ~F.array_contains(stop, w))
+    return F.slice(F.array_distinct(F.concat(words, han)), 1, n)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import os
+from dataclasses import dataclass, field, fields, replace
 
 DAY_MS = 86_400_000
 
@@ -37,7 +38,10 @@ class Params:
     channel_weights: dict = field(default_factory=lambda: {"TopicCluster": 0.3, "TemporalNeighbor": 0.3})
     # energy
     a_query: float = 0.40
+    b_context: float = 0.20
     c_importance: float = 0.60
+    d_freshness: float = 0.15
+    e_reliability: float = 0.10
     energy_cap: float = 1.0
     hop_decay: float = 0.55
     min_energy: float = 0.05
@@ -58,6 +62,12 @@ class Params:
     max_degree: int = 64
     path_delta: float = 0.25
     recent_bound: int = 16
+    idle_factor: float = 0.97
+    stale_ms: int = 30 * DAY_MS
+    fallback: int = 50
+    # compatibility: replay the whole activation log in each cycle, name co-activation edges Causal
+    replay_log: bool = False
+    causal_coactivation: bool = False
     # summaries
     cluster_min: int = 12
     cluster_jaccard: float = 0.7
@@ -67,6 +77,17 @@ class Params:
 
 DEFAULT = Params()
 
+
+def from_environment(p: Params = DEFAULT, prefix: str = "ASSOCSPARK__") -> Params:
+    """p with the numbers and flags that variables such as ASSOCSPARK__MAX_HOPS name; an unknown name is an error."""
+    kinds = {f.name: type(getattr(p, f.name)) for f in fields(p)}
+    found = {k[len(prefix) :].lower(): v for k, v in os.environ.items() if k.startswith(prefix)}
+    unknown = [k for k in found if kinds.get(k) not in (int, float, bool)]
+    if unknown:
+        raise ValueError(f"no such parameter: {', '.join(unknown)}")
+    return replace(p, **{k: v.lower() in ("1", "true", "yes") if kinds[k] is bool else kinds[k](v) for k, v in found.items()})
+
+
 #: How much of its energy an edge type passes on.
 TYPE_MODIFIER = {
     "Causal": 1.30,
