@@ -8,28 +8,37 @@ from pyspark.sql import functions as F
 from .. import lang
 from ..functions import scores, signatures, text
 from ..params import DEFAULT, Params
+from . import blocks
 from .channels import temporal_keys
 
 CONTEXT = ("conversation_id", "session_id", "project_id", "task_id")
 
 
-def understand(memories: DataFrame) -> DataFrame:
-    """memories (id, text, content_type, created_at_ms, context ids) with their extracted features."""
-    t = F.col("text")
-    cause = text.causal(t)
-    return memories.select(
+def understand(memories: DataFrame, models=None) -> DataFrame:
+    """memories (id, text, content_type, created_at_ms, context ids) with their extracted features and their vector."""
+    models = models or _default()
+    t, read = F.col("text"), models.extractor
+    cause = read.causal(t)
+    rows = memories.select(
         "*",
-        text.entities(t).alias("entities"),
-        text.topics(t).alias("topics"),
+        read.entities(t).alias("entities"),
+        read.topics(t).alias("topics"),
         F.array_compact(F.array(text.first_marker(t, lang.GOAL))).alias("goals"),
         F.array_compact(F.array(text.first_marker(t, lang.EVENT))).alias("events"),
         F.array_compact(F.array(F.concat_ws(" -> ", cause["cause"], cause["effect"]))).alias("causals"),
         F.array_compact(F.array(text.first_label(t, lang.EMOTION))).alias("emotions"),
         temporal_keys(F.col("created_at_ms")).alias("temporals"),
-        text.importance(t, F.col("content_type")).alias("importance"),
-        signatures.simhash(t).alias("simhash"),
-        scores.sign_code(signatures.hash_embedding(t)).alias("code"),
+        read.importance(t, F.col("content_type")).alias("importance"),
+        signatures.simhash(t, models.token_hash).alias("simhash"),
+        models.embed(t).alias("embedding"),
     ).withColumn("causals", F.filter("causals", lambda x: x != ""))
+    return rows.withColumn("code", scores.sign_code(F.col("embedding")))
+
+
+def _default():
+    from ..hooks import HASH  # the hooks name operators, so they are looked up late
+
+    return HASH
 
 
 def postings(units: DataFrame) -> DataFrame:
@@ -43,11 +52,17 @@ def postings(units: DataFrame) -> DataFrame:
     return units.select("id", F.explode(F.array_distinct(every)).alias("p")).select("p.dim", "p.key", "id")
 
 
-def candidate_pairs(posting: DataFrame, dims: tuple[str, ...] = ("entity", "topic", "temporal")) -> DataFrame:
-    """(src, dst) of memories that share a key, dst written before src. Hours and days lie within weeks, so the weeks alone give all temporal pairs."""
-    a = posting.where(F.col("dim").isin(*dims)).where((F.col("dim") != "temporal") | F.col("key").startswith("w:"))
-    b = a.select("dim", "key", F.col("id").alias("dst"))
-    return a.withColumnRenamed("id", "src").join(b, ["dim", "key"]).where("dst < src").select("src", "dst").distinct()
+def candidate_pairs(posting: DataFrame, dims: tuple[str, ...] = ("entity", "topic", "temporal"), new: DataFrame | None = None) -> DataFrame:
+    """(src, dst) of memories that share a key, dst written before src. Hours and days lie within weeks, so the weeks alone give all temporal pairs.
+
+    new: postings of the memories whose pairs are wanted, or None for all. A key with many memories
+    is dealt as pairs of blocks."""
+    use = lambda d: d.where(F.col("dim").isin(*dims)).where((F.col("dim") != "temporal") | F.col("key").startswith("w:"))
+    a, keys = use(posting), ["dim", "key"]
+    big = blocks.split(a, keys)
+    left = blocks.dealt(a if new is None else use(new), big, keys, ["id"], "i", "j").withColumnRenamed("id", "src")
+    right = blocks.dealt(a, big, keys, ["id"], "j", "i").withColumnRenamed("id", "dst")
+    return left.join(right, [*keys, "i", "j"]).where("dst < src").select("src", "dst").distinct()
 
 
 def co_context(a: str, b: str) -> Column:

@@ -4,19 +4,26 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scores, text
+from .. import lang
+from ..functions import text
 from ..params import DEFAULT, Params
 
 PUSH_ORDER = ["Bm25", "SemanticBinary", "EntityInverted", "TopicCluster", "TemporalNeighbor", "Goal", "Event", "Causal", "RecentActivation", "SemanticDense"]
 
 
+#: Queries that one scan of the vectors is held against, and distances that a task computes at once.
+QUERY_BLOCK, DISTANCES = 2_048, 1 << 22
+
+
 def _seeds(df: DataFrame, channel: str, order: list[Column], k: int | None) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order)) - 1
-    df = df.withColumn("ord", rank)
-    return (df.where(F.col("ord") < k) if k else df).select("query_id", "id", F.lit(channel).alias("channel"), "score", "ord")
+    df = df.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    df = df.where(F.col("n") <= k) if k else df  # compared as it is, so that Spark limits each task's rows before the shuffle
+    return df.select("query_id", "id", F.lit(channel).alias("channel"), "score", (F.col("n") - 1).alias("ord"))
 
 
 def entity_channel(queries: DataFrame, postings: DataFrame, k: int | None = None) -> DataFrame:
@@ -41,6 +48,17 @@ def temporal_channel(queries: DataFrame, postings: DataFrame, k: int | None = No
     return _seeds(hits, "TemporalNeighbor", [F.asc("id")], k)
 
 
+MARKED = (("goal", "Goal"), ("event", "Event"), ("causal", "Causal"))
+
+
+def marked_keys(queries: DataFrame, dim: str) -> DataFrame:
+    """(query_id, key): the goal, event or causal key of a query's text, the same as a memory with that text would have."""
+    t = F.col("text")
+    cause = text.causal(t)
+    key = {"goal": text.first_marker(t, lang.GOAL), "event": text.first_marker(t, lang.EVENT), "causal": F.when(cause.isNotNull(), F.concat_ws(" -> ", cause["cause"], cause["effect"]))}[dim]
+    return queries.select("query_id", key.alias("key")).where("key is not null")
+
+
 def key_channel(queries: DataFrame, postings: DataFrame, dim: str, channel: str, k: int | None = None) -> DataFrame:
     """Goal, event and causal channels: queries (query_id, key)."""
     hits = postings.where(F.col("dim") == dim).join(queries.distinct(), "key").withColumn("score", F.lit(0.15))
@@ -61,34 +79,97 @@ def recent_channel(recent: DataFrame, edges: DataFrame, k: int | None = None) ->
     return _seeds(total, "RecentActivation", [F.desc(F.round("score", 9)), F.asc("id")], k)
 
 
-def full_text(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, text) to term (id, term, tf) and doc (id, dl)."""
-    words = memories.select("id", F.explode(text.tokens(F.col("text"))).alias("term"))
-    return words.groupBy("id", "term").agg(F.count("*").alias("tf")), words.groupBy("id").agg(F.count("*").alias("dl"))
+def full_text(memories: DataFrame) -> DataFrame:
+    """(id, text) to (id, term, tf, dl): how often a memory has a term, and how many terms it has."""
+    words = memories.select("id", text.segments(F.col("text")).alias("w")).where(F.size("w") > 0)
+    return words.select("id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf")).select("id", "term", "tf", "dl")
 
 
-def bm25_channel(queries: DataFrame, term: DataFrame, doc: DataFrame, k: int | None = None, p: Params = DEFAULT) -> DataFrame:
-    """The query's terms, each once, joined to the term table; the corpus figures are one row."""
-    words = queries.select("query_id", F.explode(text.token_set(F.col("text"))).alias("term"))
-    stats = doc.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+def bm25_channel(queries: DataFrame, term: DataFrame, k: int | None = None, p: Params = DEFAULT) -> DataFrame:
+    """The query's terms, each once, joined to the term table (store it: it is read three times); the corpus figures are one row."""
+    words = queries.select("query_id", F.explode(F.array_distinct(text.segments(F.col("text")))).alias("term"))
+    docs = term.groupBy("id").agg(F.first("dl").alias("dl"))
+    stats = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     df = term.join(words.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    hits = words.join(df, "term").join(term, "term").join(doc, "id").join(F.broadcast(stats))  # one row
+    hits = words.join(df, "term").join(term, "term").join(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + p.bm25_k1 * (1 - p.bm25_b + p.bm25_b * F.col("dl") / F.col("avgdl"))
-    total = hits.groupBy("query_id", "id").agg(F.sum(idf * F.col("tf") * (p.bm25_k1 + 1) / norm).alias("raw")).withColumn("score", F.tanh(F.col("raw") / p.bm25_norm))
-    return _seeds(total.withColumn("raw", F.round("raw", 9)), "Bm25", [F.desc("raw"), F.asc("id")], k)
+    total = hits.groupBy("query_id", "id").agg(F.sum(idf * F.col("tf") * (p.bm25_k1 + 1) / norm).alias("raw")).withColumn("raw", F.round("raw", 9))
+    return _seeds(total.withColumn("score", F.tanh(F.col("raw") / p.bm25_norm)), "Bm25", [F.desc("raw"), F.asc("id")], k)
+
+
+def _blocks(queries: DataFrame):
+    """The queries (query_id, q) in blocks of about QUERY_BLOCK, so that what the driver holds and tasks get is bounded."""
+    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    for i in range(n):
+        part = queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
+        rows = part.where("q is not null").collect()
+        yield [r.query_id for r in rows], [r.q for r in rows]
+
+
+def _nearest(queries: DataFrame, rows: DataFrame, k: int | None, load, distances, exact) -> DataFrame:
+    """(query_id, id, d): for each query, of each batch of rows (id, value) the k nearest, all ties with the last included."""
+    spark, kind, key = rows.sparkSession, queries.schema["query_id"].dataType, rows.schema["id"].dataType
+    out = None
+    for names, values in _blocks(queries):
+        if not names:
+            continue
+        known = spark.sparkContext.broadcast((names, load(values)))  # QUERY_BLOCK queries
+
+        def run(batches):
+            names, q = known.value
+            step = max(1, DISTANCES // max(1, len(names)))
+            for batch in batches:
+                ids, v = batch.column(0), load(batch.column(1).to_pylist())
+                for at in range(0, len(v), step):
+                    part = v[at : at + step]
+                    d = distances(q, part)
+                    if k and k < len(part):
+                        limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                        i, j = np.nonzero(d <= limit + 1e-9 * (1 + np.abs(limit)))
+                    else:
+                        i, j = np.indices(d.shape).reshape(2, -1)
+                    yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in i]), ids.take(pa.array(j + at)), pa.array(exact(q, part, i, j), pa.float64())], ["query_id", "id", "d"])
+
+        found = rows.mapInArrow(run, f"query_id {kind.simpleString()}, id {key.simpleString()}, d double")
+        out = found if out is None else out.union(found)
+    if out is None:
+        out = spark.createDataFrame([], f"query_id {kind.simpleString()}, id {key.simpleString()}, d double")
+    return out
 
 
 def dense_channel(queries: DataFrame, vectors: DataFrame, k: int | None = None) -> DataFrame:
-    """queries: (query_id, q), few; vectors: (id, embedding). A stated query set against all rows."""
-    d = vectors.join(F.broadcast(queries)).withColumn("d", F.round(scores.squared_l2(F.col("embedding"), F.col("q")), 9))
+    """queries: (query_id, q); vectors: (id, embedding). Exact: every query is held against all vectors, in blocks of matrix products."""
+
+    def load(values):
+        return np.array(values, float).reshape(len(values), -1)
+
+    def distances(q, v):
+        if not len(v):
+            return np.zeros((len(q), 0))
+        return (q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None] - 2 * q @ v.T
+
+    def exact(q, v, i, j):
+        return np.array([((q[a] - v[b]) ** 2).sum() for a, b in zip(i, j, strict=True)])
+
+    d = _nearest(queries.select("query_id", "q"), vectors.select("id", "embedding").where("embedding is not null"), k, load, distances, exact).withColumn("d", F.round("d", 9))
     return _seeds(d.withColumn("score", 1 / (1 + F.col("d"))), "SemanticDense", [F.asc("d"), F.asc("id")], k)
 
 
 def binary_channel(queries: DataFrame, codes: DataFrame, k: int | None = None, bits: int = 64) -> DataFrame:
-    """queries: (query_id, q), few; codes: (id, code)."""
-    h = codes.join(F.broadcast(queries)).withColumn("h", scores.hamming(F.col("code"), F.col("q")))
-    return _seeds(h.withColumn("score", F.greatest(F.lit(0.0), 1 - F.col("h") / bits)), "SemanticBinary", [F.asc("h"), F.asc("id")], k)
+    """queries: (query_id, q); codes: (id, code). Exact, by bit counts in blocks."""
+
+    def load(values):
+        return np.array(values, np.int64).view(np.uint64)
+
+    def distances(q, v):
+        return np.bitwise_count(q[:, None] ^ v[None, :]).astype(float)
+
+    def exact(q, v, i, j):
+        return np.bitwise_count(q[i] ^ v[j]).astype(float)
+
+    h = _nearest(queries.select("query_id", "q"), codes.select("id", "code").where("code is not null"), k, load, distances, exact)
+    return _seeds(h.withColumn("score", F.greatest(F.lit(0.0), 1 - F.col("d") / bits)), "SemanticBinary", [F.asc("d"), F.asc("id")], k)
 
 
 def union_channels(parts: list[DataFrame]) -> DataFrame:

@@ -17,7 +17,7 @@ def push_order(col):
 def ranked(seeds: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """The per_channel best of each channel with their 0-based rank."""
     w = Window.partitionBy("query_id", "channel").orderBy(F.desc("score"), F.asc("ord"))
-    return seeds.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < p.per_channel)
+    return seeds.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= p.per_channel).withColumn("rank", F.col("rank") - 1)
 
 
 def deduped(seeds: DataFrame) -> DataFrame:
@@ -26,6 +26,11 @@ def deduped(seeds: DataFrame) -> DataFrame:
     return seeds.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
+def maxima(seeds: DataFrame) -> DataFrame:
+    """The largest score of each channel."""
+    return seeds.groupBy("query_id", "channel").agg(F.max("score").alias("score"))
+
+
 def fuse(seeds: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(query_id, id, fused, channel): summed weight / (k + rank), or with k <= 0 the largest score; channel is the largest contributor."""
     weight = F.lit(1.0)

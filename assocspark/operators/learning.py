@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..params import DEFAULT, POSITIVE_SIGNALS, SIGNAL_WEIGHT, USAGE_DELTA, Params
+from ..params import DAY_MS, DEFAULT, POSITIVE_SIGNALS, SIGNAL_WEIGHT, USAGE_DELTA, Params
+from . import blocks
 
 
 def _signal(table: dict[str, float]):
@@ -21,10 +22,13 @@ def _signal(table: dict[str, float]):
 def coactivation_pairs(log: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """log (memory_id, ts_ms, weight): (a, b, weight) of memories active less than pair_window_ms apart, a < b.
 
-    Times are cut into buckets of the window's length; each row meets those of its own bucket and the next."""
+    Times are cut into buckets of the window's length; each row meets those of its own bucket and the next. A busy bucket is
+    dealt as pairs of blocks."""
     rows = log.select("memory_id", "ts_ms", "weight", F.floor(F.col("ts_ms") / p.pair_window_ms).alias("bucket"))
     other = rows.select(F.col("memory_id").alias("m2"), F.col("ts_ms").alias("t2"), F.col("weight").alias("w2"), F.explode(F.array("bucket", F.col("bucket") - 1)).alias("bucket"), F.col("bucket").alias("b2"))
-    pairs = rows.join(other, "bucket").where((F.abs(F.col("ts_ms") - F.col("t2")) < p.pair_window_ms) & (F.col("memory_id") != F.col("m2")))
+    big = blocks.split(other, ["bucket"])
+    left, right = blocks.dealt(rows, big, ["bucket"], ["memory_id", "ts_ms"], "i", "j"), blocks.dealt(other, big, ["bucket"], ["m2", "t2"], "j", "i")
+    pairs = left.join(right, ["bucket", "i", "j"]).where((F.abs(F.col("ts_ms") - F.col("t2")) < p.pair_window_ms) & (F.col("memory_id") != F.col("m2")))
     # pairs of one bucket are met from both sides, those of neighbours from one
     pairs = pairs.where((F.col("b2") > F.col("bucket")) | (F.col("memory_id") < F.col("m2")))
     return pairs.groupBy(F.least("memory_id", "m2").alias("a"), F.greatest("memory_id", "m2").alias("b")).agg(F.sum(F.least("weight", "w2")).alias("weight"))
@@ -45,7 +49,8 @@ def hebbian(edges: DataFrame, pairs: DataFrame, p: Params = DEFAULT) -> DataFram
 
 def new_edges(edges: DataFrame, pairs: DataFrame, now_ms: int, p: Params = DEFAULT) -> DataFrame:
     """CoActivation edges a to b for strong pairs that have none."""
-    rows = pairs.where(F.col("weight") >= p.pair_min).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("CoActivation").alias("link_type"))
+    kind = "Causal" if p.causal_coactivation else "CoActivation"
+    rows = pairs.where(F.col("weight") >= p.pair_min).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(kind).alias("link_type"))
     rows = rows.join(edges.select("src", "dst", "link_type"), ["src", "dst", "link_type"], "left_anti")
     return rows.select("src", "dst", "link_type", F.lit(0.3).alias("strength"), F.lit(0.4).alias("confidence"), F.lit(True).alias("observing"), F.lit(now_ms).cast("long").alias("last_activated_at"), F.lit(0).cast("long").alias("activation_count"))
 
@@ -66,9 +71,18 @@ def decay(edges: DataFrame, now_ms: int, p: Params = DEFAULT) -> DataFrame:
     return rows.withColumn("strength", F.when(kept, F.col("strength")).otherwise(F.greatest(F.lit(p.floor), F.col("faded")))).drop("faded").select(*edges.columns)
 
 
-def linear_decay(edges: DataFrame, now_ms: int, factor: float = 0.97, p: Params = DEFAULT) -> DataFrame:
-    idle = F.lit(now_ms) - F.col("last_activated_at") > p.half_life_ms
-    return edges.withColumn("strength", F.when(idle, F.col("strength") * factor).otherwise(F.col("strength")))
+def linear_decay(edges: DataFrame, now_ms: int, p: Params = DEFAULT) -> DataFrame:
+    """The older rule: an edge idle for more than a day keeps idle_factor of its strength, down to the floor."""
+    idle = F.lit(now_ms) - F.col("last_activated_at") > DAY_MS
+    return edges.withColumn("strength", F.when(idle, F.greatest(F.col("strength") * p.idle_factor, F.lit(p.floor))).otherwise(F.col("strength")))
+
+
+def compact_units(units: DataFrame, edges: DataFrame, now_ms: int, p: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """Edges of the floor's strength and more; active units (id, lifecycle, updated_at_ms) without any that are stale become Deprecated."""
+    kept = edges.where(F.col("strength") >= p.floor)
+    rows = units.join(kept.select(F.col("src").alias("id"), F.lit(True).alias("linked")).distinct(), "id", "left")
+    gone = F.col("linked").isNull() & (F.lit(now_ms) - F.col("updated_at_ms") > p.stale_ms) & (F.col("lifecycle") == "Active")
+    return rows.withColumn("lifecycle", F.when(gone, "Deprecated").otherwise(F.col("lifecycle"))).select(*units.columns), kept
 
 
 def compact(edges: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -87,18 +101,29 @@ def cycle(edges: DataFrame, log: DataFrame, now_ms: int, p: Params = DEFAULT) ->
     return compact(decay(reject(grown, rejected, p), now_ms, p), p)
 
 
-def usage(log: DataFrame) -> DataFrame:
-    """(memory_id, usage_score): signal deltas in the order of time, kept within 0 to 1 after each."""
+def usage(log: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(memory_id, usage_score): signal deltas in the order of time, kept within 0 to 1 after each; before has earlier scores.
+
+    Any run of clamped steps is x -> max(low, min(high, x + sum)), so each memory's days are folded to such steps on their
+    own, and only these are put in order: a row never holds a memory's whole history."""
     rows = log.where(F.col("signal").isin(*USAGE_DELTA)).withColumn("delta", _signal(USAGE_DELTA))
+    unit = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    step = lambda s, x: F.struct((s["sum"] + x["delta"]).alias("sum"), unit(s["low"] + x["delta"]).alias("low"), unit(s["high"] + x["delta"]).alias("high"))
+    free = F.struct(F.lit(0.0).alias("sum"), F.lit(-1e9).alias("low"), F.lit(1e9).alias("high"))
     ordered = F.array_sort(F.collect_list(F.struct("ts_ms", "event_id", "delta")))
-    fold = F.aggregate(ordered, F.lit(0.5), lambda s, x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), s + x["delta"])))
-    return rows.groupBy("memory_id").agg(fold.alias("usage_score"))
+    days = rows.groupBy("memory_id", F.floor(F.col("ts_ms") / DAY_MS).alias("day")).agg(F.aggregate(ordered, free, step).alias("f"))
+    whole = days.groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("day", "f"))).alias("fs"))
+    whole = whole.join(before.withColumnRenamed("usage_score", "old"), "memory_id", "full") if before is not None else whole.withColumn("old", F.lit(None).cast("double"))
+    then = lambda x, d: F.greatest(d["f"]["low"], F.least(d["f"]["high"], x + d["f"]["sum"]))
+    return whole.select("memory_id", F.when(F.col("fs").isNull(), F.col("old")).otherwise(F.aggregate("fs", F.coalesce("old", F.lit(0.5)), then)).alias("usage_score"))
 
 
-def context_links(log: DataFrame, delta: float = 0.25) -> DataFrame:
-    """log (feature, memory_id, ts_ms, signal): positive signals strengthen, so the sum, capped, is exact."""
+def context_links(log: DataFrame, before: DataFrame | None = None, p: Params = DEFAULT) -> DataFrame:
+    """log (feature, memory_id, ts_ms, signal): positive signals strengthen, so the sum, capped, is exact; before has earlier links."""
     rows = log.where(F.col("signal").isin(*POSITIVE_SIGNALS))
-    return rows.groupBy("feature", "memory_id").agg(F.least(F.lit(1.0), delta * F.count("*")).alias("strength"), F.count("*").alias("review_count"), F.max("ts_ms").alias("last_reviewed_at"))
+    new = rows.groupBy("feature", "memory_id").agg((p.path_delta * F.count("*")).alias("strength"), F.count("*").alias("review_count"), F.max("ts_ms").alias("last_reviewed_at"))
+    both = new if before is None else new.unionByName(before)
+    return both.groupBy("feature", "memory_id").agg(F.least(F.lit(1.0), F.sum("strength")).alias("strength"), F.sum("review_count").alias("review_count"), F.max("last_reviewed_at").alias("last_reviewed_at"))
 
 
 def coactivation_counts(results: DataFrame, p: Params = DEFAULT) -> DataFrame:

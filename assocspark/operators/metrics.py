@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,9 +17,14 @@ def evaluate(results: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     return rows.select("query_id", F.when(F.col("n_rel") == 0, 1.0).otherwise(F.col("hits") / F.col("n_rel")).alias("recall"), (F.col("hits") / F.least(F.lit(k), F.greatest("n_got", F.lit(1)))).alias("precision"), (F.col("hits") > 0).cast("int").alias("hit"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"), F.when(F.col("n_rel") == 0, 0.0).otherwise(F.col("dcg") / ideal).alias("ndcg"))
 
 
-def averages(scores: DataFrame) -> DataFrame:
-    return scores.agg(*(F.avg(c).alias(c) for c in ("recall", "precision", "hit", "rr", "ndcg")))
+def awareness(cases: DataFrame) -> DataFrame:
+    """cases (query_id, expected_dimensions, dimensions, expected_warnings (a number), contradiction (whether one was named)):
+    explanation accuracy, the share of expected dimensions that were hit, and contradiction awareness."""
+    wanted = F.size("expected_dimensions")
+    accuracy = F.when(wanted <= 0, 1.0).otherwise(F.size(F.filter("expected_dimensions", lambda x: F.array_contains("dimensions", x))) / wanted)
+    aware = F.when(F.col("expected_warnings") == 0, 1.0).when(F.col("contradiction"), 1.0).otherwise(0.0)
+    return cases.select("query_id", accuracy.alias("explanation_accuracy"), aware.alias("contradiction_awareness"))
 
 
-def first_of(results: DataFrame) -> DataFrame:
-    return results.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("n = 1").drop("n")
+def averages(scores: DataFrame) -> DataFrame:
+    return scores.agg(*(F.avg(c).alias(c) for c in ("recall", "precision", "hit", "rr", "ndcg")))

@@ -14,8 +14,8 @@ def about(queries: DataFrame) -> DataFrame:
     """queries (query_id, text) with what the boosts need to know of them, worked out once a query."""
     t = F.col("text")
     q = F.lower(t)
-    corrects = text.contains_any(q, lang.QUESTIONS[0][1] + lang.QUESTIONS[0][2]) | (q.contains(lang.CHANGE_PAIR[0]) & q.contains(lang.CHANGE_PAIR[1]))
-    return queries.select("query_id", t.alias("query"), text.question_type(t).alias("question"), corrects.alias("corrects"), F.lower(text.what_subject(t)).alias("subject"), keywords(t).alias("keywords"), text.entities(t).alias("query_entities"))
+    corrects = text.contains_any(q, dict(lang.QUESTIONS)["Correction"]) | text.changes(q)
+    return queries.select("query_id", t.alias("query"), text.question_type(t).alias("question"), corrects.alias("corrects"), F.lower(text.what_subject(t)).alias("subject"), text.keywords(t).alias("keywords"), text.entities(t).alias("query_entities"))
 
 
 def boosted(energy: Column, *boosts: Column, p: Params = DEFAULT) -> Column:
@@ -48,12 +48,6 @@ def keyword_boost(words: Column, content: Column) -> Column:
     return F.least(F.lit(0.08), 0.04 * F.size(F.filter(words, lambda k: F.contains(low, F.lower(k)))))
 
 
-def keywords(query: Column, n: int = 5) -> Column:
-    """Upper-case abbreviations and capitalised words of the query, n at most."""
-    words = F.filter(F.split(query, r"[^\p{L}\p{N}_-]+", -1), lambda w: w.rlike("^[A-Z][A-Za-z0-9_-]+$") & ~F.lower(w).isin("the", "what", "why", "how", "which", "who", "when", "where"))
-    return F.slice(F.array_distinct(words), 1, n)
-
-
 def definition_boost(question: Column, subject: Column, content: Column) -> Column:
     low = F.lower(content)
     hit = F.exists(F.array(*map(F.lit, lang.DEFINITION)), lambda d: F.contains(low, F.concat(subject, F.lit(" "), d)))
@@ -69,10 +63,11 @@ def coverage_correction(energy: Column, query_entities: Column, memory_entities:
     return F.when(n >= 2, energy * (1 + p.coverage_beta * F.size(F.array_intersect(query_entities, memory_entities)) / n)).otherwise(energy)
 
 
-def context_strengths(features: DataFrame, links: DataFrame, now_ms: int, p: Params = DEFAULT) -> DataFrame:
-    """features (query_id, feature) joined to context links: the largest remaining strength of each memory."""
-    rest = scores.forget(F.col("strength"), F.lit(now_ms) - F.col("last_reviewed_at"), F.col("review_count"), p)
-    return features.join(links.withColumn("rest", rest), "feature").groupBy("query_id", "memory_id").agg(F.max("rest").alias("strength"))
+def context_strengths(features: DataFrame, links: DataFrame, now_ms: int | Column, p: Params = DEFAULT) -> DataFrame:
+    """features (query_id, feature, and the column of now_ms if it is one) joined to context links: the largest remaining strength of each memory."""
+    now = now_ms if isinstance(now_ms, Column) else F.lit(now_ms)
+    rest = scores.forget(F.col("strength"), now - F.col("last_reviewed_at"), F.col("review_count"), p)
+    return features.join(links, "feature").withColumn("rest", rest).groupBy("query_id", "memory_id").agg(F.max("rest").alias("strength"))
 
 
 def warnings(results: DataFrame, edges: DataFrame, lifecycle: Column | None = None) -> DataFrame:
@@ -97,6 +92,12 @@ def lexical_overlap(query: Column, content: Column) -> Column:
     return scores.jaccard(text.token_set(query), text.token_set(content))
 
 
+def explanation(id_: Column, dimensions: Column, hops: Column, notes: Column) -> Column:
+    """One sentence on why a memory was recalled."""
+    said = F.when(F.size(notes) > 0, F.array_join(notes, ", ")).otherwise("none")
+    return F.format_string("Memory %s was recalled via %d dimension(s) (%s), hops=%d. Warnings: %s.", id_.cast("string"), F.size(dimensions), F.array_join(dimensions, ", "), hops, said)
+
+
 def matched_dimensions(trace: Column, channel: Column) -> Column:
     """Link types along the trace, then the seed's channel, each once."""
     return F.array_distinct(F.array_compact(F.concat(F.transform(trace, lambda s: s["link_type"]), F.array(channel))))

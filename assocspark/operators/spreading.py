@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import merge_energies, passed_energy
 from ..params import DEFAULT, Params
+from . import fusion
 
 _PRODUCT = F.round  # orders must not depend on the last bits of a product
 
@@ -24,7 +27,8 @@ def spread(seeds: DataFrame, edges: DataFrame, p: Params = DEFAULT, hops: int |
     meet fold in the order of the frontier and of the edges. The loop's length is max_hops. Lineage is cut
     by checkpoint() if a checkpoint folder is set."""
     hops = p.max_hops if hops is None else hops
-    top = strongest(edges, p).persist()  # every hop reads it
+    top = strongest(edges, p)  # every hop reads it
+    top = top.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else top
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(_PRODUCT("fused", 9)), F.asc("id")))
     frontier = seeds.select("query_id", "id", "energy", order.alias("ord"), F.array(F.struct(F.lit(None).cast(edges.schema["src"].dataType).alias("src"), F.col("id").cast(edges.schema["src"].dataType).alias("dst"), F.lit(None).cast("string").alias("link_type"), F.lit(0).alias("hop"), F.col("energy").alias("energy"))).alias("trace"))
     reached = frontier.select("query_id", "id", "energy", F.lit(0).alias("hop"), F.lit(1).cast("long").alias("n_paths"), "trace")
@@ -61,7 +65,9 @@ def trace_text(trace):
 
 
 def traverse(start: DataFrame, edges: DataFrame, direction: str = "out", depth: int = 1, types: list[str] | None = None) -> DataFrame:
-    """Breadth-first search from start (id): (id, depth) of first visits. depth is kept within 1 to 5."""
+    """Breadth-first search from start (id): (id, depth) of first visits. depth is kept within 1 to 5. A round's lineage is cut if a
+    checkpoint folder is set."""
+    saved = bool(edges.sparkSession.sparkContext.getCheckpointDir())
     e = edges.where(F.col("link_type").isin(types)) if types else edges
     out, into = e.select("src", "dst"), e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     hops = {"out": out, "in": into, "both": out.union(into)}[direction]
@@ -69,5 +75,23 @@ def traverse(start: DataFrame, edges: DataFrame, direction: str = "out", depth:
     frontier = seen
     for d in range(1, min(5, max(1, depth)) + 1):
         frontier = frontier.withColumnRenamed("id", "src").join(hops, "src").select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d))
+        frontier = frontier.checkpoint() if saved else frontier
         seen = seen.unionByName(frontier)
     return seen
+
+
+def traversed_edges(seen: DataFrame, edges: DataFrame, direction: str = "out", depth: int = 1, types: list[str] | None = None) -> DataFrame:
+    """The edges that a traversal with these nodes (id, depth) went along: those of each node that it expanded, which are all but the
+    last round's. One that is met from both ends is there twice, with the end it was met from in `at`."""
+    e = edges.where(F.col("link_type").isin(types)) if types else edges
+    from_ = seen.where(F.col("depth") < min(5, max(1, depth))).select(F.col("id").alias("at"))
+    parts = [e.join(from_, F.col(end) == F.col("at")) for name, end in (("out", "src"), ("in", "dst")) if direction in (name, "both")]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def spread_seeds(seeds: DataFrame, edges: DataFrame, importance: DataFrame, p: Params = DEFAULT, hops: int | None = None) -> DataFrame:
+    """Seeds of several channels (query_id, id, channel, score, rank) to activated memories: by reciprocal ranks if any seed has a
+    rank, else by the largest score."""
+    ranked = not seeds.where("rank is not null").isEmpty()
+    fused = fusion.fuse(seeds, p if ranked else replace(p, rrf_k=0.0))
+    return spread(fusion.energised(fused, importance, p), edges, p, hops)

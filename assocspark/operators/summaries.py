@@ -32,7 +32,16 @@ def leaders(memories: DataFrame, p: Params = DEFAULT) -> DataFrame:
     neighbours are settled, so there are as many rounds as the longest chain of neighbours needs."""
     spark = memories.sparkSession
     saved = bool(spark.sparkContext.getCheckpointDir())
-    keep = (lambda d: d.checkpoint()) if saved else (lambda d: d.persist())
+    held: list[DataFrame] = []
+
+    def keep(d: DataFrame) -> DataFrame:
+        """Cuts the lineage, or without a checkpoint folder caches this round; what the round before cached is let go."""
+        if saved:
+            return d.checkpoint()
+        held.append(d.persist())
+        d.count()
+        return d
+
     pairs = keep(similar_pairs(memories, p))
     open_ = keep(memories.select("id"))
     done = None
@@ -49,6 +58,8 @@ def leaders(memories: DataFrame, p: Params = DEFAULT) -> DataFrame:
         new = keep(new)
         done = keep(done.unionByName(new)) if done is not None else new
         open_ = keep(open_.join(new.select("id"), "id", "left_anti"))
+        while len(held) > 7:  # pairs, and two rounds of three
+            held.pop(1).unpersist()
     return done if done is not None else memories.select("id", F.col("id").alias("leader"))
 
 
