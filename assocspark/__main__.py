@@ -1,4 +1,5 @@
-"""Command line: python -m assocspark --store PATH <command>. Rows go to standard output as JSON lines."""
+"""Command line: python -m assocspark --store PATH <command>. Rows go to standard output as JSON lines. Variables such as
+ASSOCSPARK__MAX_HOPS change parameters."""
 
 from __future__ import annotations
 
@@ -9,6 +10,8 @@ import time
 
 from pyspark.sql import SparkSession
 
+from .hooks import BACKENDS, models
+from .params import from_environment
 from .plans.engine import RAW, Engine
 
 
@@ -16,6 +19,7 @@ def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="assocspark")
     out.add_argument("--store", required=True, help="folder of the store on any Spark file system")
     out.add_argument("--now-ms", type=int, help="time of the call; the clock's if left out")
+    out.add_argument("--models", default="hash", choices=list(BACKENDS))
     sub = out.add_subparsers(dest="command", required=True)
     add = sub.add_parser("write")
     add.add_argument("text")
@@ -37,8 +41,9 @@ def parser() -> argparse.ArgumentParser:
     sub.add_parser("consolidate")
     sub.add_parser("reindex")
     look = sub.add_parser("inspect")
-    look.add_argument("kind", nargs="?", default="stats", choices=["stats", "postings", "edges", "strongest", "contradictions"])
+    look.add_argument("kind", nargs="?", default="stats", choices=["stats", "units", "postings", "channel", "edges", "strongest", "contradictions", "in_edges"])
     look.add_argument("--n", type=int, default=20)
+    look.add_argument("--dim", default="entity")
     walk = sub.add_parser("traverse")
     walk.add_argument("id", type=int)
     walk.add_argument("--direction", default="out")
@@ -51,7 +56,7 @@ def parser() -> argparse.ArgumentParser:
 def call(spark: SparkSession, argv: list[str]):
     """Runs one command; a DataFrame, a dictionary or nothing comes back."""
     a = parser().parse_args(argv)
-    engine = Engine(spark, a.store)
+    engine = Engine(spark, a.store, from_environment(), models(a.models))
     now = a.now_ms if a.now_ms is not None else int(time.time() * 1000)
     if a.command == "write":
         id_ = a.id
@@ -64,7 +69,7 @@ def call(spark: SparkSession, argv: list[str]):
     if a.command == "retrieve":
         return engine.retrieve(spark.createDataFrame([(now, a.text)], "query_id long, text string"), now, a.top_k, a.mode)
     if a.command == "explain":
-        return engine.explain().where(f"id = {a.id}")
+        return engine.explain(a.id)
     if a.command == "list":
         return engine.list(a.limit, a.cursor, a.type)
     if a.command == "consolidate":
@@ -72,7 +77,7 @@ def call(spark: SparkSession, argv: list[str]):
     if a.command == "reindex":
         return engine.reindex(now)
     if a.command == "inspect":
-        return engine.inspect(a.kind, a.n)
+        return engine.inspect(a.kind, a.n, a.dim)
     if a.command == "traverse":
         return engine.traverse(spark.createDataFrame([(a.id,)], "id long"), a.direction, a.depth)
     if a.command == "dump":

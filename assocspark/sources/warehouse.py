@@ -14,8 +14,16 @@ class RecordExists(ValueError):
     """A log already has a record with this id."""
 
 
+class NotFound(KeyError):
+    """No memory has this id."""
+
+
 class Warehouse:
-    """Logs are Parquet folders that grow; a snapshot is written to v=<n>/ before its pointer row is appended."""
+    """Logs are Parquet folders that grow. A snapshot is a list of folders: each is written whole before the row that lists it is
+    appended to the pointer, so readers see the old snapshot or the new one."""
+
+    #: Folders of a snapshot; one more and they are written as one.
+    PARTS = 16
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -23,24 +31,40 @@ class Warehouse:
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def version(self, name: str) -> int:
-        """The newest snapshot that was written whole, or 0."""
+    def _newest(self, name: str) -> tuple[int, list[str]]:
         try:
-            return self.spark.read.schema("version long").parquet(f"{self._path(name)}/pointer").agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+            rows = self.spark.read.schema("version long, parts array<string>").parquet(f"{self._path(name)}/pointer")
         except AnalysisException:
-            return 0
+            return 0, []
+        row = rows.agg(F.max(F.struct("version", "parts")).alias("x")).first().x
+        return (row.version, row.parts) if row else (0, [])
+
+    def version(self, name: str) -> int:
+        """The newest snapshot that was written whole, or 0."""
+        return self._newest(name)[0]
 
     def read(self, name: str) -> DataFrame:
-        n = self.version(name)
+        n, parts = self._newest(name)
         if not n:
             raise KeyError(name)
-        return self.spark.read.parquet(f"{self._path(name)}/v={n}")
+        return self.spark.read.parquet(*(f"{self._path(name)}/{p}" for p in parts))
 
-    def replace(self, name: str, df: DataFrame) -> None:
-        """A new snapshot; readers see the old one until it is whole."""
+    def _write(self, name: str, df: DataFrame, parts: list[str]) -> None:
         n = self.version(name) + 1
         df.write.mode("overwrite").parquet(f"{self._path(name)}/v={n}")
-        self.spark.createDataFrame([(n,)], "version long").coalesce(1).write.mode("append").parquet(f"{self._path(name)}/pointer")
+        self.spark.createDataFrame([(n, [*parts, f"v={n}"])], "version long, parts array<string>").coalesce(1).write.mode("append").parquet(f"{self._path(name)}/pointer")
+
+    def replace(self, name: str, df: DataFrame) -> None:
+        """A new snapshot; readers see the old one until it is whole."""
+        self._write(name, df, [])
+
+    def add(self, name: str, df: DataFrame) -> None:
+        """A snapshot with more rows: only these are written, unless it has too many folders."""
+        _, parts = self._newest(name)
+        if len(parts) < self.PARTS:
+            self._write(name, df, parts)
+        else:
+            self.replace(name, self.read(name).unionByName(df))
 
     def upsert(self, name: str, df: DataFrame, *keys: str) -> None:
         if not self.version(name):
@@ -86,12 +110,16 @@ def first_by_id(table: DataFrame, n: int, key: str = "id") -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df as a table of its own in the folder of spark.checkpoint.dir (on one machine without it, a temporary one).
+    """df as a table of its own in the folder of spark.checkpoint.dir. Where that is unset, a temporary one is made and set, but only
+    if driver and executors are one process.
 
     A plan that reads a long derivation many times is short again, and a lost executor loses nothing."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir is unset, and {master} needs a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="assocspark-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/stored-{uuid.uuid4().hex}"
