@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from . import lang
 from .functions import scores, signatures, text
+from .hooks import DIGEST
 from .operators import association, browse, channels, fusion, learning, metrics, rerank, spreading, summaries
 from .params import DEFAULT, TYPE_MODIFIER
-from .plans.retrieve import retrieve
 from .sources.warehouse import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,7 +40,16 @@ BETWEEN = text.BETWEEN
 _TOK = rf"list_filter(regexp_split_to_array(lower(text), '{BETWEEN}'), lambda x: x <> '')"
 _TYPES = "(CASE role WHEN 'user' THEN 'UserStatement' WHEN 'assistant' THEN 'ProjectKnowledge' ELSE 'Decision' END)"
 MEM = f"mem AS (SELECT conv_id * 1000 + turn AS id, conv_id AS conversation_id, turn, text, {_TYPES} AS content_type, 1700000000000 + conv_id * 600000 + turn * 60000 AS created_at_ms FROM conversations WHERE text IS NOT NULL)"
-_ENT = r"list_distinct(list_transform(list_filter(list_transform(regexp_split_to_array(text, '\s+'), lambda x: regexp_replace(x, '^[^\p{L}\p{N}_-]+|[^\p{L}\p{N}_-]+$', '', 'g')), lambda x: strlen(x) >= 2 AND regexp_matches(x, '^[A-Z]')), lambda x: lower(x)))"
+_TRIMMED = r"list_transform(regexp_split_to_array(text, '\s+'), lambda x: regexp_replace(x, '^[^\p{L}\p{N}_-]+|[^\p{L}\p{N}_-]+$', '', 'g'))"
+_NAMED = f"list_transform(list_filter({_TRIMMED}, lambda x: strlen(x) >= 2 AND regexp_matches(x, '^[A-Z]')), lambda x: lower(x))"
+_ENT = f"list_distinct({_NAMED})"
+
+
+def once(values: str) -> str:
+    """SQL for a list without later repeats, in its order."""
+    return f"list_filter({values}, lambda x, i: list_position({values}, x) = i)"
+
+
 _TOP = f"list_filter({_TOK}, lambda x: strlen(x) >= 2)[1:5]"
 
 
@@ -70,12 +79,14 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("src", "dst", kind.alias("link_type"), (0.3 + (s * 7 + d * 13) % 70 / 100.0).alias("strength"), (0.5 + (s * 3 + d * 5) % 50 / 100.0).alias("confidence"), ((s + d) % 3 == 0).alias("observing"), (1704067200000 + (s * 31 + d) % 30 * 86400000).alias("last_activated_at"), ((s + 2 * d) % 8).alias("activation_count"))
 
 
-SEED = "seed AS (SELECT p_partkey % 10 AS query_id, p_partkey AS id, 1.0::DOUBLE / (1 + p_partkey % 7) AS fused, (p_partkey % 11) / 10.0::DOUBLE AS importance FROM part WHERE p_partkey % 40 < 10)"
+SEED = """seed AS (SELECT p_partkey // 20 % 10 AS query_id, p_partkey AS id, 1.0::DOUBLE / (1 + p_partkey % 7) AS fused, (p_partkey % 11) / 10.0::DOUBLE AS importance
+    FROM part WHERE p_partkey % 20 = 0)"""
 
 
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth part as a seed of one of ten queries."""
     k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").where("p_partkey % 40 < 10").select((k % 10).alias("query_id"), k.alias("id"), (1.0 / (1 + k % 7)).alias("fused"), (k % 11 / 10.0).alias("importance"), F.lit("Bm25").alias("channel"))
+    return table(spark, sf_dir, "part").where("p_partkey % 20 = 0").select((F.floor(k / 20) % 10).alias("query_id"), k.alias("id"), (1.0 / (1 + k % 7)).alias("fused"), (k % 11 / 10.0).alias("importance"), F.lit("Bm25").alias("channel"))
 
 
 _SIGNAL = "(CASE event_type WHEN 'purchase' THEN 'UserConfirmedCorrect' WHEN 'click' THEN 'Referenced' WHEN 'signup' THEN 'TaskSucceeded' WHEN 'error' THEN 'UserRejected' ELSE 'retrieve' END)"
@@ -88,6 +99,13 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("memory_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), signal.alias("signal"))
 
 
+def small(df: DataFrame, limit: int = 10_000) -> DataFrame:
+    """A stated query set as a broadcast side: more than limit rows are an error."""
+    if df.limit(limit + 1).count() > limit:
+        raise ValueError(f"a query set of more than {limit} rows; hold it against the table in blocks")
+    return F.broadcast(df)
+
+
 def _r(c: str, n: int = 6):
     return F.round(c, n).alias(c)
 
@@ -120,7 +138,12 @@ def _any(words: list[str], col: str = "q") -> str:
     return "(" + " OR ".join(f"contains({col}, '{w}')" for w in words) + ")"
 
 
-@query(f"WITH {MEM}, low AS (SELECT id, lower(text) AS q FROM mem) SELECT id, CASE WHEN contains(q, '之前') AND contains(q, '后来') THEN 'Correction' " + " ".join(f"WHEN {_any(zh + en)} THEN '{n}'" for n, zh, en in lang.QUESTIONS) + " ELSE 'None' END AS question FROM low")
+def question_sql(q: str) -> str:
+    changed = " OR ".join(f"contains({q}, '{x}') AND contains({q}, '{y}')" for x, y in lang.CHANGE_PAIRS)
+    return f"CASE WHEN {changed} THEN 'Correction' " + " ".join(f"WHEN {_any(words, q)} THEN '{n}'" for n, words in lang.QUESTIONS) + " ELSE 'None' END"
+
+
+@query(f"WITH {MEM}, low AS (SELECT id, lower(text) AS q FROM mem) SELECT id, {question_sql('q')} AS question FROM low")
 def question_type(spark, sf_dir):
     return memories(spark, sf_dir).select("id", text.question_type(F.col("text")).alias("question"))
 
@@ -135,7 +158,18 @@ def marker_extract(spark, sf_dir):
     return documents(spark, sf_dir).select(F.col("id").alias("doc_id"), text.first_marker(t, lang.GOAL).alias("goal"), text.first_marker(t, lang.DECISION).alias("decision"), text.first_label(t, lang.PREFERENCE).alias("preference"), text.first_label(t, lang.EMOTION).alias("emotion"))
 
 
-@query()
+def causal_sql(text: str = "text") -> str:
+    """A struct of cause and effect, or null."""
+    parts = []
+    for a, b in lang.CAUSAL:
+        tail = f"substr({text}, instr(lower({text}), '{a}') + {len(a)})"
+        at = f"instr(lower({tail}), '{b}')"
+        pair = f"{{'cause': trim(substr(substr({tail}, 1, {at} - 1), 1, 80)), 'effect': trim(substr(substr({tail}, {at} + {len(b)}), 1, 80))}}"
+        parts.append(f"WHEN instr(lower({text}), '{a}') > 0 AND {at} > 0 THEN {pair}")
+    return f"CASE {' '.join(parts)} END"
+
+
+@query(f"SELECT doc_id, c.cause AS cause, c.effect AS effect FROM (SELECT doc_id, {causal_sql()} AS c FROM documents WHERE text IS NOT NULL) WHERE c IS NOT NULL")
 def causal_pairs(spark, sf_dir):
     c = text.causal(F.col("text"))
     return documents(spark, sf_dir).select(F.col("id").alias("doc_id"), c["cause"].alias("cause"), c["effect"].alias("effect")).where("cause is not null")
@@ -157,14 +191,34 @@ def hash_embed(spark, sf_dir):
     return memories(spark, sf_dir).select("id", v.alias("embedding"))
 
 
+def digest_sql(text: str = "text") -> str:
+    """The digest embedding of a text as a list of doubles."""
+    tokens = _TOK.replace("lower(text)", f"lower({text})")
+    sums = f"list_transform(range(1, 33), lambda i: coalesce(list_sum(list_transform({tokens}, lambda t: instr('0123456789abcdef', substr(md5(t), i, 1)) - 8.5)), 0)::DOUBLE)"
+    return f"(SELECT list_transform(v, lambda x: CASE WHEN n > 0 THEN x / n ELSE 0 END) FROM (SELECT v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (SELECT {sums} AS v)))"
+
+
+SIM_BITS = "list_transform(range(60), lambda i: CASE WHEN list_sum(list_transform(h, lambda x: CASE WHEN (x >> i) & 1 = 1 THEN 1 ELSE -1 END)) > 0 THEN 1::BIGINT << i ELSE 0 END)"
+SIGNED = f"""signed AS (SELECT id, v, list_sum(list_transform(range(1, 33), lambda i: CASE WHEN v[i] > 0 THEN 1::BIGINT << (i - 1) ELSE 0 END))::BIGINT AS code,
+        coalesce(list_sum({SIM_BITS}), 0)::BIGINT AS simhash
+    FROM (SELECT id, {digest_sql()} AS v, list_transform({_TOK}, lambda t: ('0x' || substr(md5(t), 1, 15))::BIGINT) AS h FROM mem))"""
+
+
+@query(f"WITH {MEM}, {SIGNED} SELECT id, array_to_string(list_transform(v, lambda x: round(x * 1000000)::BIGINT), ',') AS embedding, code FROM signed")
+def digest_embed(spark, sf_dir):
+    v = signatures.digest_embedding(F.col("text"))
+    rows = memories(spark, sf_dir).select("id", v.alias("v"))
+    return rows.select("id", F.array_join(F.transform("v", lambda x: F.round(x * 1000000).cast("long").cast("string")), ",").alias("embedding"), scores.sign_code(F.col("v")).alias("code"))
+
+
 @query()
 def stable_hash(spark, sf_dir):
     return memories(spark, sf_dir).select("id", signatures.stable_hash(F.col("text")).alias("hash"))
 
 
-@query()
+@query(f"WITH {MEM}, {SIGNED} SELECT id, simhash FROM signed")
 def lexical_simhash(spark, sf_dir):
-    return memories(spark, sf_dir).select("id", signatures.simhash(F.col("text")).alias("simhash"))
+    return memories(spark, sf_dir).select("id", signatures.simhash(F.col("text"), signatures.digest_hash).alias("simhash"))
 
 
 # --- postings and channels
@@ -174,7 +228,7 @@ POST = f"post AS (SELECT DISTINCT 'entity' AS dim, unnest({_ENT}) AS key, id FRO
 
 
 def _postings(spark, sf_dir):
-    return association.postings(association.understand(memories(spark, sf_dir))).where("dim in ('entity', 'topic', 'temporal')")
+    return association.postings(association.understand(memories(spark, sf_dir), DIGEST)).where("dim in ('entity', 'topic', 'temporal')")
 
 
 @query(f"WITH {MEM}, {POST} SELECT dim, key, id FROM post")
@@ -210,8 +264,8 @@ def _doc_postings(spark, sf_dir):
 
 def _channels(spark, sf_dir, k=20):
     q, posting = probes(spark, sf_dir), _doc_postings(spark, sf_dir)
-    term, doc = channels.full_text(documents(spark, sf_dir))
-    return channels.union_channels([channels.bm25_channel(q, term, doc, k), channels.entity_channel(q, posting, k), channels.topic_channel(q, posting, k)])
+    term = stored(channels.full_text(documents(spark, sf_dir)))
+    return channels.union_channels([channels.bm25_channel(q, term, k), channels.entity_channel(q, posting, k), channels.topic_channel(q, posting, k)])
 
 
 @query(f"WITH {_DOCS}, {ENTITY} SELECT query_id, id, score, ord FROM entity WHERE ord < 20")
@@ -226,8 +280,8 @@ def topic_channel(spark, sf_dir):
 
 @query(f"WITH {_DOCS}, {BM25} SELECT query_id, id, round(score, 6) AS score, ord FROM bm25 WHERE ord < 20")
 def bm25_topk(spark, sf_dir):
-    term, doc = channels.full_text(documents(spark, sf_dir))
-    return channels.bm25_channel(probes(spark, sf_dir), term, doc, 20).select("query_id", "id", _r("score"), "ord")
+    term = stored(channels.full_text(documents(spark, sf_dir)))
+    return channels.bm25_channel(probes(spark, sf_dir), term, 20).select("query_id", "id", _r("score"), "ord")
 
 
 @query(f"WITH {MEM}, {POST} SELECT DISTINCT item_id AS query_id, id, 0.3::DOUBLE AS score FROM benchmark, post WHERE dim = 'temporal' AND key IN ('h:' || ((1700000000000 + item_id * 600000) // 3600000), 'd:' || ((1700000000000 + item_id * 600000) // 86400000), 'w:' || ((1700000000000 + item_id * 600000) // 604800000))")
@@ -236,12 +290,12 @@ def temporal_channel(spark, sf_dir):
     return channels.temporal_channel(q, _postings(spark, sf_dir)).select("query_id", "id", "score")
 
 
-@query(f"""WITH {EDGE}, recent AS (SELECT p_partkey % 10 AS query_id, p_partkey AS id FROM part WHERE p_partkey % 50 < 10),
+@query(f"""WITH {EDGE}, recent AS (SELECT p_partkey // 20 % 10 AS query_id, p_partkey AS id FROM part WHERE p_partkey % 20 = 0),
     first AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst, link_type) AS n FROM edge) WHERE n <= 8),
     e AS (SELECT query_id, id, 0.3 AS e FROM recent UNION ALL SELECT query_id, dst, 0.15 FROM recent JOIN first ON src = id)
     SELECT query_id, id, round(least(1.0, sum(e))::DOUBLE, 6) AS score FROM e GROUP BY query_id, id""")
 def recent_channel(spark, sf_dir):
-    recent = table(spark, sf_dir, "part").where("p_partkey % 50 < 10").select((F.col("p_partkey") % 10).alias("query_id"), F.col("p_partkey").alias("id"))
+    recent = table(spark, sf_dir, "part").where("p_partkey % 20 = 0").select((F.floor(F.col("p_partkey") / 20) % 10).alias("query_id"), F.col("p_partkey").alias("id"))
     return channels.recent_channel(recent, edges(spark, sf_dir).withColumn("ord", F.lit(0))).select("query_id", "id", _r("score"))
 
 
@@ -299,16 +353,17 @@ def channel_contrib(spark, sf_dir):
 
 # --- spreading
 
-ENERGY = f"{SEED}, en AS (SELECT query_id, id, fused, least(fused / max(fused) OVER (PARTITION BY query_id) * 0.4 * (1 + importance * 0.6), 1.0) AS energy FROM seed), s0 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 9) DESC, id) AS ord FROM en WHERE energy >= 0.05)"
+NO_PATH = "[]::STRUCT(t VARCHAR, d BIGINT, e DOUBLE)[]"
+ENERGY = f"{SEED}, en AS (SELECT query_id, id, fused, least(fused / max(fused) OVER (PARTITION BY query_id) * 0.4 * (1 + importance * 0.6), 1.0) AS energy FROM seed), s0 AS (SELECT *, id AS seed, {NO_PATH} AS path, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 9) DESC, id) AS ord FROM en WHERE energy >= 0.05)"
 TOP6 = f"{EDGE}, top6 AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(strength * confidence, 9) DESC, dst, link_type) AS er FROM edge QUALIFY er <= 6)"
 _MOD = "(CASE link_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in TYPE_MODIFIER.items()) + " END)::DOUBLE"
 
 
 def _hop_sql(n: int, frontier: str, reached: str) -> str:
     d = f"pow(0.55::DOUBLE, {n})"
-    return f"""m{n} AS (SELECT f.query_id, t.dst AS id, f.ord, t.er, least(1.0, f.energy * t.strength * t.confidence * {d} * {_MOD}) AS e FROM {frontier} f JOIN top6 t ON t.src = f.id WHERE NOT EXISTS (SELECT 1 FROM ({reached}) r WHERE r.query_id = f.query_id AND r.id = t.dst)),
-    g{n} AS (SELECT query_id, id, list(e ORDER BY ord, er) AS es FROM m{n} WHERE e >= 0.05 GROUP BY query_id, id),
-    s{n} AS (SELECT query_id, id, list_reduce(list_prepend(0.0::DOUBLE, es), lambda a, b: greatest(a, b) + 0.3 * least(a, b)) AS energy, len(es)::BIGINT AS n_paths, row_number() OVER (PARTITION BY query_id ORDER BY round(list_reduce(list_prepend(0.0::DOUBLE, es), lambda a, b: greatest(a, b) + 0.3 * least(a, b)), 9) DESC, id) AS ord FROM g{n})"""
+    return f"""m{n} AS (SELECT f.query_id, t.dst AS id, f.ord, t.er, f.seed, f.path, t.link_type, least(1.0, f.energy * t.strength * t.confidence * {d} * {_MOD}) AS e FROM {frontier} f JOIN top6 t ON t.src = f.id WHERE NOT EXISTS (SELECT 1 FROM ({reached}) r WHERE r.query_id = f.query_id AND r.id = t.dst)),
+    g{n} AS (SELECT query_id, id, list(e ORDER BY ord, er) AS es, arg_min({{'seed': seed, 'path': list_append(path, {{'t': link_type, 'd': id, 'e': e}})}}, ord * 1000 + er) AS p FROM m{n} WHERE e >= 0.05 GROUP BY query_id, id),
+    s{n} AS (SELECT query_id, id, p.seed AS seed, p.path AS path, list_reduce(list_prepend(0.0::DOUBLE, es), lambda a, b: greatest(a, b) + 0.3 * least(a, b)) AS energy, len(es)::BIGINT AS n_paths, row_number() OVER (PARTITION BY query_id ORDER BY round(list_reduce(list_prepend(0.0::DOUBLE, es), lambda a, b: greatest(a, b) + 0.3 * least(a, b)), 9) DESC, id) AS ord FROM g{n})"""
 
 
 def _seed_energy(spark, sf_dir):
@@ -355,50 +410,48 @@ def spread_one_hop(spark, sf_dir):
     return spreading.one_hop(_seed_energy(spark, sf_dir), edges(spark, sf_dir)).where("hop = 1").select("query_id", "id", _r("energy"))
 
 
-@query()
+TRACE = "'seed=' || seed || list_reduce(list_prepend('', list_transform(path, lambda s: ' -' || s.t || '->' || s.d || printf(' (e=%.3f)', s.e))), lambda a, b: a || b)"
+
+
+@query(f"""WITH {_HOPS}, every AS (SELECT query_id, id, seed, path FROM s0 UNION ALL SELECT query_id, id, seed, path FROM s1 UNION ALL SELECT query_id, id, seed, path FROM s2)
+    SELECT query_id, id, {TRACE} AS trace, array_to_string({once("list_append(list_transform(path, lambda s: s.t), 'Bm25')")}, ',') AS dimensions FROM every""")
 def spread_trace(spark, sf_dir):
     out = spreading.spread(_seed_energy(spark, sf_dir), edges(spark, sf_dir))
     return out.select("query_id", "id", spreading.trace_text(F.col("trace")).alias("trace"), F.array_join(rerank.matched_dimensions(F.col("trace"), F.lit("Bm25")), ",").alias("dimensions"))
 
 
+@query(f"WITH {ENERGY}, {TOP6} SELECT f.query_id, f.id AS src, t.dst, round(least(1.0, f.energy * t.strength * t.confidence * 0.55 * {_MOD}), 6) AS energy FROM s0 f JOIN top6 t ON t.src = f.id")
+def propagate_hop1(spark, sf_dir):
+    top = spreading.strongest(edges(spark, sf_dir))
+    rows = _seed_energy(spark, sf_dir).withColumnRenamed("id", "src").join(top, "src")
+    e = scores.passed_energy(F.col("energy"), F.col("strength"), F.col("confidence"), 1, F.col("link_type"))
+    return rows.select("query_id", "src", "dst", F.round(e, 6).alias("energy"))
+
+
+@query("SELECT p_partkey AS id, round(greatest(0.0, least((CASE p_partkey % 3 WHEN 0 THEN 1.2 WHEN 1 THEN 0.6 ELSE 1.0 END) * (p_partkey % 7 / 7.0::DOUBLE) * 0.4 * (1 + p_partkey % 5 / 5.0::DOUBLE * 0.6) + p_partkey % 4 / 4.0::DOUBLE * 0.2 + p_partkey % 6 / 6.0::DOUBLE * 0.15 + 0.1 * 0.5, 1.0)), 6) AS energy FROM part")
+def initial_energy(spark, sf_dir):
+    k = F.col("p_partkey")
+    channel = F.when(k % 3 == 0, "SemanticDense").when(k % 3 == 1, "SemanticBinary").otherwise("Bm25")
+    e = scores.initial_energy(channel, k % 7 / 7.0, k % 4 / 4.0, k % 5 / 5.0, k % 6 / 6.0, F.lit(0.5))
+    return table(spark, sf_dir, "part").select(k.alias("id"), F.round(e, 6).alias("energy"))
+
+
 def _traverse_sql(hops: str, depth: int) -> str:
-    return f"WITH RECURSIVE {EDGE}, hops AS ({hops}), walk AS (SELECT p_partkey AS id, 0 AS depth FROM part WHERE p_partkey <= 3 UNION SELECT h.dst, w.depth + 1 FROM walk w JOIN hops h ON h.src = w.id WHERE w.depth < {depth}) SELECT id, min(depth) AS depth FROM walk GROUP BY id"
+    return f"WITH RECURSIVE {EDGE}, hops AS ({hops}), walk AS (SELECT p_partkey AS id, 0 AS depth FROM part WHERE p_partkey % 20 = 0 UNION SELECT h.dst, w.depth + 1 FROM walk w JOIN hops h ON h.src = w.id WHERE w.depth < {depth}) SELECT id, min(depth) AS depth FROM walk GROUP BY id"
 
 
 @query(_traverse_sql("SELECT src, dst FROM edge", 2))
 def traverse_out(spark, sf_dir):
-    return spreading.traverse(table(spark, sf_dir, "part").where("p_partkey <= 3").select(F.col("p_partkey").alias("id")), edges(spark, sf_dir), "out", 2)
+    return spreading.traverse(table(spark, sf_dir, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id")), edges(spark, sf_dir), "out", 2)
 
 
 @query(_traverse_sql("SELECT src, dst FROM edge WHERE link_type IN ('Causal', 'SameGoal') UNION ALL SELECT dst, src FROM edge WHERE link_type IN ('Causal', 'SameGoal')", 2))
 def traverse_both(spark, sf_dir):
-    return spreading.traverse(table(spark, sf_dir, "part").where("p_partkey <= 3").select(F.col("p_partkey").alias("id")), edges(spark, sf_dir), "both", 2, ["Causal", "SameGoal"])
+    return spreading.traverse(table(spark, sf_dir, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id")), edges(spark, sf_dir), "both", 2, ["Causal", "SameGoal"])
 
 
 # --- association
 
-PAIRS = f"{MEM}, {POST}, cand AS (SELECT DISTINCT a.id AS src, b.id AS dst FROM post a JOIN post b USING (dim, key) WHERE b.id < a.id)"
-
-
-@query(f"WITH {PAIRS.replace('FROM post a JOIN post b USING (dim, key) WHERE', 'FROM post a JOIN post b USING (dim, key) WHERE a.dim <> ' + chr(39) + 'temporal' + chr(39) + ' AND')} SELECT src, dst FROM cand")
-def candidate_pairs(spark, sf_dir):
-    return association.candidate_pairs(_postings(spark, sf_dir), ("entity", "topic"))
-
-
-def _features(spark, sf_dir):
-    units = association.understand(memories(spark, sf_dir))
-    return association.pair_features(association.candidate_pairs(association.postings(units)), units)
-
-
-@query()
-def pair_features(spark, sf_dir):
-    return _features(spark, sf_dir).withColumn("dims", F.array_join("dims", ","))
-
-
-@query()
-def edge_build(spark, sf_dir):
-    return association.build_edges(_features(spark, sf_dir), F.lit(1000), NOW).select("src", "dst", "link_type", _r("strength"), "observing")
-
 
 @query("SELECT p_partkey AS total, round(CASE WHEN p_partkey < 500 THEN 0.6 WHEN p_partkey >= 1000 THEN 1.0 ELSE 0.6 + 0.4 * (p_partkey - 500) / 500 END::DOUBLE, 6) AS factor FROM part")
 def cold_start_curve(spark, sf_dir):
@@ -414,23 +467,13 @@ def warnings(spark, sf_dir):
     return rerank.warnings(r, edges(spark, sf_dir)).select("id", F.array_join("warnings", ",").alias("warnings"))
 
 
-@query()
-def question_boosts(spark, sf_dir):
-    """Boosts of all conversations for every twentieth benchmark text (a stated set) and a few questions."""
-    asked = [(-1, "Why is the release late?"), (-2, "What is Onhe"), (-3, "which do you prefer instead"), (-4, "how to deploy")]
-    q = rerank.about(probes(spark, sf_dir).where("query_id % 20 = 0").union(spark.createDataFrame(asked, "query_id long, text string")))
-    rows = memories(spark, sf_dir).join(F.broadcast(q))
-    c = {n: F.col(n) for n in ("question", "corrects", "subject", "keywords", "content_type")}
-    boosts = rerank.why_boost(c["question"], F.col("text")), rerank.type_boost(c["question"], c["corrects"], c["subject"], F.col("text"), c["content_type"]), rerank.keyword_boost(c["keywords"], F.col("text")), rerank.definition_boost(c["question"], c["subject"], F.col("text"))
-    return rows.select("query_id", "id", F.round(rerank.boosted(F.lit(0.5), *boosts), 6).alias("energy"))
-
-
-@query(f"WITH {_DOCS}, qe AS (SELECT query_id, {_ENT} AS qe FROM q), me AS (SELECT id, {_ENT} AS me FROM mem WHERE id % 20 = 0) SELECT query_id, id, round(CASE WHEN len(qe) >= 2 THEN 0.5 * (1 + 0.2 * len(list_intersect(qe, me)) / len(qe)) ELSE 0.5 END::DOUBLE, 6) AS energy FROM qe, me")
+@query(f"""WITH {_DOCS}, qe AS (SELECT query_id, {_ENT} AS qe FROM q WHERE query_id % 20 = 0), me AS (SELECT id, {_ENT} AS me FROM mem)
+    SELECT query_id, id, round(CASE WHEN len(qe) >= 2 THEN 0.5 * (1 + 0.2 * len(list_intersect(qe, me)) / len(qe)) ELSE 0.5 END::DOUBLE, 6) AS energy FROM qe, me""")
 def coverage_correction(spark, sf_dir):
-    """The documents with an id divisible by 20 are the stated set that all queries are held against."""
-    q = probes(spark, sf_dir).select("query_id", text.entities(F.col("text")).alias("qe"))
-    m = documents(spark, sf_dir).where("id % 20 = 0").select("id", text.entities(F.col("text")).alias("me"))
-    return m.join(F.broadcast(q)).select("query_id", "id", F.round(rerank.coverage_correction(F.lit(0.5), F.col("qe"), F.col("me")), 6).alias("energy"))
+    """Every twentieth benchmark text, a stated set, against all documents."""
+    q = probes(spark, sf_dir).where("query_id % 20 = 0").select("query_id", text.entities(F.col("text")).alias("qe"))
+    m = documents(spark, sf_dir).select("id", text.entities(F.col("text")).alias("me"))
+    return m.join(small(q)).select("query_id", "id", F.round(rerank.coverage_correction(F.lit(0.5), F.col("qe"), F.col("me")), 6).alias("energy"))
 
 
 # --- learning
@@ -523,11 +566,38 @@ def redirect_edges(spark, sf_dir):
     return learning.redirect(edges(spark, sf_dir), gone).select("src", "dst", "link_type")
 
 
-@query()
+_CYCLE = f"""WITH {EDGE}, {LOG}, w AS (SELECT *, (CASE signal WHEN 'retrieve' THEN 0.5 WHEN 'Referenced' THEN 0.8 ELSE 1.0 END)::DOUBLE AS weight FROM log WHERE signal <> 'UserRejected'),
+    pr AS (SELECT x.memory_id AS a, y.memory_id AS b, sum(least(x.weight, y.weight)) AS weight
+        FROM w x JOIN w y ON x.memory_id < y.memory_id AND x.ts_ms < y.ts_ms + 3600000 AND y.ts_ms < x.ts_ms + 3600000 GROUP BY 1, 2 HAVING round(sum(least(x.weight, y.weight)), 9) >= 3),
+    b AS (SELECT a AS src, b AS dst, 0.08 * least(weight, 5) AS d FROM pr UNION ALL SELECT b, a, 0.08 * least(weight, 5) FROM pr),
+    hb AS (SELECT e.src, e.dst, link_type, least(1.0, strength + coalesce(d, 0)) AS strength, observing, last_activated_at, activation_count + CASE WHEN d IS NULL THEN 0 ELSE 1 END AS n FROM edge e LEFT JOIN b USING (src, dst)),
+    nw AS (SELECT a AS src, b AS dst, 'CoActivation' AS link_type, 0.3::DOUBLE AS strength, true AS observing, {NOW} AS last_activated_at, 0 AS n FROM pr WHERE NOT EXISTS (SELECT 1 FROM edge WHERE src = a AND dst = b AND link_type = 'CoActivation')),
+    gr AS (SELECT * FROM hb UNION ALL SELECT * FROM nw), r AS (SELECT DISTINCT memory_id AS id FROM log WHERE signal = 'UserRejected'),
+    rj AS (SELECT src, dst, link_type, CASE WHEN hit THEN greatest(0.12, strength - 0.08) ELSE strength END AS strength, observing, last_activated_at, CASE WHEN hit THEN greatest(0, n - 1) ELSE n END AS n
+        FROM (SELECT *, src IN (SELECT id FROM r) OR dst IN (SELECT id FROM r) AS hit FROM gr)),
+    fd AS (SELECT *, NOT observing AND link_type IN ('Causal', 'Correction', 'Contradiction', 'Supersedes') AS kept, strength * pow(0.5, greatest({NOW} - last_activated_at, 0) / (86400000 * pow(2.0, least(n, 6)))) AS faded FROM rj),
+    dc AS (SELECT src, dst, link_type, CASE WHEN kept THEN strength ELSE greatest(0.12, faded) END AS strength FROM fd WHERE kept OR NOT observing OR round(faded, 9) >= 0.12)
+    SELECT src, dst, link_type, round(strength, 4) AS strength FROM dc QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(strength, 9) DESC, dst, link_type) <= 64"""
+
+
+@query(_CYCLE)
 def consolidate_cycle(spark, sf_dir):
     return learning.cycle(edges(spark, sf_dir), signals(spark, sf_dir), NOW).select("src", "dst", "link_type", _r("strength", 4))
 
 
+@query(f"WITH {EDGE} SELECT src, dst, round(CASE WHEN {NOW} - last_activated_at > 86400000 THEN greatest(strength * 0.97, 0.12) ELSE strength END, 6) AS strength FROM edge")
+def linear_decay(spark, sf_dir):
+    return learning.linear_decay(edges(spark, sf_dir), NOW).select("src", "dst", _r("strength"))
+
+
+@query(f"""WITH {EDGE}, kept AS (SELECT DISTINCT src FROM edge WHERE strength >= 0.5)
+    SELECT p_partkey AS id, CASE WHEN p_partkey % 9 = 0 THEN 'Compressed' WHEN p_partkey NOT IN (SELECT src FROM kept) AND p_partkey % 3 <> 0 THEN 'Deprecated' ELSE 'Active' END AS lifecycle FROM part""")
+def compact_units(spark, sf_dir):
+    k = F.col("p_partkey")
+    units = table(spark, sf_dir, "part").select(k.alias("id"), F.when(k % 9 == 0, "Compressed").otherwise("Active").alias("lifecycle"), F.when(k % 3 == 0, NOW).otherwise(0).alias("updated_at_ms"))
+    return learning.compact_units(units, edges(spark, sf_dir), NOW, replace(DEFAULT, floor=0.5))[0].select("id", "lifecycle")
+
+
 # --- summaries
 
 
@@ -536,12 +606,26 @@ def similar_texts(spark, sf_dir):
     return summaries.similar_pairs(documents(spark, sf_dir))
 
 
-@query()
+_SETS = f"mem AS (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL), s AS (SELECT id, list_distinct({_TOK}) AS s FROM mem), pr AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS n FROM s a JOIN s b ON a.id < b.id AND len(a.s) >= 0.7 * len(b.s) AND len(b.s) >= 0.7 * len(a.s) WHERE len(a.s) > 0), p AS (SELECT a, b FROM pr WHERE i >= 0.7 * (n - i))"
+
+
+@query(f"""WITH RECURSIVE {_SETS}, nb AS (SELECT b, list(a) AS near FROM p GROUP BY b),
+    o AS (SELECT mem.id, coalesce(near, []) AS near, row_number() OVER (ORDER BY mem.id) AS n FROM mem LEFT JOIN nb ON nb.b = mem.id),
+    w AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS heads UNION ALL SELECT o.n, CASE WHEN list_has_any(w.heads, o.near) THEN w.heads ELSE list_append(w.heads, o.id) END FROM w JOIN o ON o.n = w.n + 1),
+    done AS (SELECT heads FROM w ORDER BY n DESC LIMIT 1)
+    SELECT id, coalesce(list_min(list_intersect(near, heads)), id) AS leader FROM o, done""")
 def summary_clusters(spark, sf_dir):
     return summaries.leaders(documents(spark, sf_dir).select("id", "text"))
 
 
-@query()
+_SENTENCES = r"list_filter(list_transform(regexp_extract_all(text, '[^。！？.!?\n]*[。！？.!?\n]|[^。！？.!?\n]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: strlen(x) > 1)"
+
+
+@query(f"""WITH d AS (SELECT doc_id AS id, text, CASE WHEN len({_SENTENCES}) > 0 THEN {_SENTENCES} ELSE [text] END AS ss, list_filter({_TOK}, lambda x: strlen(x) >= 2)[1:20] AS known FROM documents WHERE text IS NOT NULL),
+    e AS (SELECT id, known, len(ss) AS n, unnest(ss) AS text, unnest(range(len(ss))) AS i FROM d),
+    h AS (SELECT id, text AS s, i, round(len(list_filter({_TOK}, lambda x: list_contains(known, x))) * (1 - 0.5 * i / n), 9) AS score FROM e),
+    b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, i) AS r FROM h)
+    SELECT id, string_agg(s, '' ORDER BY r) AS summary FROM b WHERE r <= 3 GROUP BY id""")
 def summary_text(spark, sf_dir):
     return summaries.summary(documents(spark, sf_dir).withColumn("leader", F.col("id"))).select(F.col("leader").alias("id"), "summary")
 
@@ -575,9 +659,20 @@ def inspect_edges(spark, sf_dir):
     return browse.strongest_edges(edges(spark, sf_dir), 20).select("src", "dst", "link_type", _r("strength"))
 
 
-@query(f"WITH {MEM} SELECT '{{\"id\":' || id || ',\"content_type\":\"' || content_type || '\"}}' AS value FROM mem")
+@query(f"""WITH {MEM}, u AS (SELECT id, conversation_id, turn, text, content_type, created_at_ms, {once(_NAMED)} AS entities, {_TOP} AS topics,
+        round(least(1.0, CASE WHEN length(text) > 200 THEN 0.7 WHEN length(text) > 50 THEN 0.5 ELSE 0.3 END + CASE WHEN content_type IN ('Decision', 'Preference') THEN 0.2 ELSE 0.0 END)::DOUBLE, 6) AS importance FROM mem)
+    SELECT to_json(u)::VARCHAR AS value FROM u""")
 def dump_json(spark, sf_dir):
-    return browse.json_lines(memories(spark, sf_dir).select("id", "content_type"))
+    t = F.col("text")
+    rows = memories(spark, sf_dir).select("id", "conversation_id", "turn", "text", "content_type", "created_at_ms", text.entities(t).alias("entities"), text.topics(t).alias("topics"), F.round(text.importance(t, F.col("content_type")), 6).alias("importance"))
+    return browse.json_lines(rows)
+
+
+@query(f"""WITH {EDGE}, n AS (SELECT src, count(*) AS n FROM edge GROUP BY src)
+    SELECT CASE WHEN p_partkey % 3 = 0 THEN 'Indexed' ELSE 'Enriched' END AS stage, count(*) AS n_memories, coalesce(sum(n), 0)::BIGINT AS n_links FROM part LEFT JOIN n ON src = p_partkey GROUP BY 1""")
+def inspect_units(spark, sf_dir):
+    units = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 3 == 0, "Indexed").otherwise("Enriched").alias("stage"))
+    return browse.unit_stats(units, edges(spark, sf_dir))
 
 
 _EVAL = f"WITH {FUSED}, res AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 9) DESC, id) AS rank FROM fu), rel AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark, labels WHERE doc_id % 10 = item_id % 10 AND quality = 1)"
@@ -598,11 +693,16 @@ def retrieval_metrics(spark, sf_dir):
     return metrics.evaluate(results, rel, 10).select("query_id", *(_r(c) for c in ("recall", "precision")), "hit", _r("rr"), _r("ndcg"))
 
 
-@query()
-def retrieve_topk(spark, sf_dir):
-    """The whole retrieval: conversations as memories with their edges, benchmark texts as queries."""
-    units = stored(association.understand(memories(spark, sf_dir)))
-    posting = stored(association.postings(units))
-    e = stored(association.build_edges(association.pair_features(association.candidate_pairs(posting), units), F.lit(1000), NOW))
-    out = retrieve(probes(spark, sf_dir), units, posting, e, 10)
-    return out.select("query_id", "rank", "id", _r("score", 4), "channel", "hop", F.array_join("dimensions", ",").alias("dimensions"), "trace", F.array_join("warnings", ",").alias("warnings"))
+@query(
+    f"""WITH c AS (SELECT item_id AS query_id, list_transform(range(item_id % 4), lambda i: 'd' || i) AS want, list_transform(range(item_id % 3), lambda i: 'd' || (i * 2)) AS got, item_id % 2 AS expected, item_id % 5 = 0 AS named FROM benchmark)
+    SELECT query_id, round(CASE WHEN len(want) = 0 THEN 1.0 ELSE len(list_filter(want, lambda x: list_contains(got, x))) / len(want)::DOUBLE END, 6) AS explanation_accuracy, CASE WHEN expected = 0 OR named THEN 1.0 ELSE 0.0 END::DOUBLE AS contradiction_awareness FROM c"""
+)
+def explanation_metrics(spark, sf_dir):
+    i = F.col("item_id")
+    named = lambda n, step: F.transform(F.sequence(F.lit(0).cast("long"), n), lambda x: F.concat(F.lit("d"), (x * step).cast("string")))
+    upto = lambda n, step: F.slice(named(n, step), F.lit(1), n.cast("int"))
+    cases = table(spark, sf_dir, "benchmark").select(i.alias("query_id"), upto(i % 4, 1).alias("expected_dimensions"), upto(i % 3, 2).alias("dimensions"), (i % 2).alias("expected_warnings"), (i % 5 == 0).alias("contradiction"))
+    return metrics.awareness(cases).select("query_id", _r("explanation_accuracy"), "contradiction_awareness")
+
+
+from . import retrieval_queries  # noqa: E402, F401  (registers its queries here)
