@@ -1,14 +1,16 @@
-"""Hash signatures. XXH3 isn't among Spark's functions, so what needs it runs on Arrow batches; the digest family is SQL functions only."""
+"""Hash signatures, on Arrow batches: XXH3 isn't among Spark's functions, and sums over tokens and bits are slow in those that are."""
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, tokens
+from .text import tokens
 
 DIM = 256
 
@@ -47,21 +49,30 @@ def hash_embedding(text: Column, dim: int = DIM) -> Column:
 
 
 DIGEST_DIM = 32
-_HEX = "0123456789abcdef"
 
 
 def digest_embedding(text: Column) -> Column:
-    """Like hash_embedding, with the 32 hexadecimal digits of a token's MD5 as its vector: any SQL engine can say the same."""
-    digit = lambda h, i: (F.instr(F.lit(_HEX), F.substring(h, i, F.lit(1))) - 8.5).cast("double")
-    vector = lambda t: let(F.md5(t), lambda h: F.transform(F.sequence(F.lit(1), F.lit(DIGEST_DIM)), lambda i: digit(h, i)))
-    zero = F.array_repeat(F.lit(0.0), DIGEST_DIM)
-    total = F.aggregate(tokens(text), zero, lambda s, t: F.zip_with(s, vector(t), lambda x, y: x + y))
+    """Like hash_embedding, with the 32 hexadecimal digits of a token's MD5, less 7.5, as its vector: any SQL engine can say the same.
+    Sums are of halves, so they are exact."""
 
-    def unit(v: Column) -> Column:
-        size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-        return let(size, lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+    @F.pandas_udf("array<double>")
+    def run(s: pd.Series) -> pd.Series:
+        known: dict[str, np.ndarray] = {}
 
-    return let(F.coalesce(total, zero), unit)
+        def vector(token: str) -> np.ndarray:
+            if token not in known:
+                pairs = np.frombuffer(md5(token.encode()).digest(), np.uint8)
+                known[token] = np.stack([pairs >> 4, pairs & 15], axis=1).ravel() - 7.5
+            return known[token]
+
+        def embed(words) -> list[float]:
+            v = sum((vector(w) for w in words), np.zeros(DIGEST_DIM)) if words is not None else np.zeros(DIGEST_DIM)
+            n = float(np.sqrt((v * v).sum()))
+            return (v / n if n else v).tolist()
+
+        return s.map(embed)
+
+    return run(tokens(text))
 
 
 def digest_hash(token: Column) -> Column:
@@ -70,14 +81,20 @@ def digest_hash(token: Column) -> Column:
 
 
 def simhash(text: Column, token_hash=F.xxhash64) -> Column:
-    """64-bit SimHash of the tokens, in SQL functions: a bit is set if most token hashes have it."""
+    """64-bit SimHash of the tokens: a bit is set if most token hashes have it. Hashes are SQL functions, votes are counted on Arrow batches."""
+    place = np.arange(64, dtype=np.uint64)
+
+    @F.pandas_udf("long")
+    def votes(s: pd.Series) -> pd.Series:
+        def code(hashes) -> int:
+            if hashes is None or not len(hashes):
+                return 0
+            bits = (np.asarray(hashes, np.int64).view(np.uint64)[:, None] >> place) & np.uint64(1)
+            return int(np.bitwise_or.reduce((2 * bits.sum(axis=0) > len(hashes)).astype(np.uint64) << place).view(np.int64))
 
-    def code(hashes: Column) -> Column:
-        vote = lambda i: F.aggregate(hashes, F.lit(0), lambda s, h: s + F.when(F.call_function("shiftright", h, i).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1))
-        bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(vote(i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-        return F.aggregate(bits, F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b))
+        return s.map(code).astype("int64")
 
-    return let(F.transform(tokens(text), lambda t: token_hash(t)), code)
+    return votes(F.transform(tokens(text), lambda t: token_hash(t)))
 
 
 def simhash_similarity(a: Column, b: Column) -> Column:

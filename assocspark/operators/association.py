@@ -52,17 +52,23 @@ def postings(units: DataFrame) -> DataFrame:
     return units.select("id", F.explode(F.array_distinct(every)).alias("p")).select("p.dim", "p.key", "id")
 
 
-def candidate_pairs(posting: DataFrame, dims: tuple[str, ...] = ("entity", "topic", "temporal"), new: DataFrame | None = None) -> DataFrame:
+def candidate_pairs(posting: DataFrame, dims: tuple[str, ...] = ("entity", "topic", "temporal"), new: DataFrame | None = None, units: DataFrame | None = None) -> DataFrame:
     """(src, dst) of memories that share a key, dst written before src. Hours and days lie within weeks, so the weeks alone give all temporal pairs.
 
-    new: postings of the memories whose pairs are wanted, or None for all. A key with many memories
+    new: postings of the memories whose pairs are wanted, or None for all. units (id, simhash): if given, pairs have their lexical
+    similarity, worked out where they meet. A key with many memories
     is dealt as pairs of blocks."""
     use = lambda d: d.where(F.col("dim").isin(*dims)).where((F.col("dim") != "temporal") | F.col("key").startswith("w:"))
     a, keys = use(posting), ["dim", "key"]
     big = blocks.split(a, keys)
-    left = blocks.dealt(a if new is None else use(new), big, keys, ["id"], "i", "j").withColumnRenamed("id", "src")
-    right = blocks.dealt(a, big, keys, ["id"], "j", "i").withColumnRenamed("id", "dst")
-    return left.join(right, [*keys, "i", "j"]).where("dst < src").select("src", "dst").distinct()
+    known = (lambda d: d) if units is None else (lambda d: d.join(units.select("id", "simhash"), "id"))
+    left = blocks.dealt(known(a if new is None else use(new)), big, keys, ["id"], "i", "j").withColumnRenamed("id", "src")
+    right = blocks.dealt(known(a), big, keys, ["id"], "j", "i").withColumnRenamed("id", "dst")
+    if units is not None:
+        left, right = left.withColumnRenamed("simhash", "x"), right.withColumnRenamed("simhash", "y")
+    pairs = left.join(right, [*keys, "i", "j"]).where("dst < src")
+    lexical = [] if units is None else [signatures.simhash_similarity(F.col("x"), F.col("y")).alias("lexical")]
+    return pairs.select("src", "dst", *lexical).distinct()
 
 
 def co_context(a: str, b: str) -> Column:
@@ -76,8 +82,10 @@ def pair_features(pairs: DataFrame, units: DataFrame, p: Params = DEFAULT) -> Da
     """Similarities of each pair, for the max_candidates lexically closest of each src, and the dimensions hit."""
     keep = [*("id", "entities", "topics", "goals", "events", "causals", "emotions", "temporals", "importance", "simhash", "code"), *(c for c in CONTEXT if c in units.columns)]
     u = units.select(*keep, *(F.lit(None).cast("long").alias(c) for c in CONTEXT if c not in units.columns))
-    rows = pairs.join(u.select(F.col("id").alias("src"), F.col("simhash").alias("x")), "src").join(u.select(F.col("id").alias("dst"), F.col("simhash").alias("y")), "dst")
-    rows = rows.select("src", "dst", signatures.simhash_similarity(F.col("x"), F.col("y")).alias("lexical"))
+    rows = pairs
+    if "lexical" not in pairs.columns:
+        rows = pairs.join(u.select(F.col("id").alias("src"), F.col("simhash").alias("x")), "src").join(u.select(F.col("id").alias("dst"), F.col("simhash").alias("y")), "dst")
+        rows = rows.select("src", "dst", signatures.simhash_similarity(F.col("x"), F.col("y")).alias("lexical"))
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("lexical"), F.asc("dst")))).where(F.col("n") <= p.max_candidates)
     rows = rows.join(u.select(F.col("id").alias("src"), F.struct(*u.columns).alias("a")), "src").join(u.select(F.col("id").alias("dst"), F.struct(*u.columns).alias("b")), "dst")
     j = lambda c: scores.jaccard(F.col(f"a.{c}"), F.col(f"b.{c}"))

@@ -70,17 +70,21 @@ def context_strengths(features: DataFrame, links: DataFrame, now_ms: int | Colum
     return features.join(links, "feature").withColumn("rest", rest).groupBy("query_id", "memory_id").agg(F.max("rest").alias("strength"))
 
 
-def warnings(results: DataFrame, edges: DataFrame, lifecycle: Column | None = None) -> DataFrame:
-    """(query_id, id, warnings): low confidence, deprecated, one for each out-edge that corrects, contradicts or supersedes, stale."""
+def warned(results: DataFrame, edges: DataFrame, lifecycle: Column | None = None) -> DataFrame:
+    """results with warnings: low confidence, deprecated, one for each out-edge that corrects, contradicts or supersedes, stale."""
     kinds = ["Correction", "Contradiction", "Supersedes"]
     about = edges.where(F.col("link_type").isin(kinds)).select(F.col("src").alias("id"), F.struct(F.array_position(F.array(*map(F.lit, kinds)), F.col("link_type")).alias("o"), "dst", F.concat_ws(":", "link_type", F.col("dst").cast("string")).alias("w")).alias("e"))
     about = about.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["w"]).alias("about"))
-    rows = results.join(about, "id", "left")
     own = F.when(F.col("energy") < 0.20, F.lit("LowConfidence"))
     gone = F.when(lifecycle == "Deprecated", F.lit("Deprecated")) if lifecycle is not None else F.lit(None).cast("string")
     stale = F.when(F.col("energy") < 0.10, F.lit("StaleFreshness"))
     out = F.concat(F.array_compact(F.array(own, gone)), F.coalesce("about", F.array().cast("array<string>")), F.array_compact(F.array(stale)))
-    return rows.select("query_id", "id", "energy", out.alias("warnings"))
+    return results.join(about, "id", "left").withColumn("warnings", out).drop("about")
+
+
+def warnings(results: DataFrame, edges: DataFrame, lifecycle: Column | None = None) -> DataFrame:
+    """(query_id, id, energy, warnings)."""
+    return warned(results, edges, lifecycle).select("query_id", "id", "energy", "warnings")
 
 
 def top_k(results: DataFrame, k: int) -> DataFrame:

@@ -49,7 +49,7 @@ class Engine:
             self._put(name, rows, key, memories, fresh)
         posting = self.store.read("posting")
         units = new.drop("embedding") if fresh else self.store.read("unit").unionByName(new.drop("embedding"))
-        pairs = association.candidate_pairs(posting, new=None if fresh else posting.join(memories.select("id"), "id", "left_semi"))
+        pairs = association.candidate_pairs(posting, new=None if fresh else posting.join(memories.select("id"), "id", "left_semi"), units=units)
         edges = association.build_edges(association.pair_features(pairs, units, self.params), F.lit(units.count()), now_ms, self.params).withColumn("ord", F.lit(0))
         if self.store.version("compressed"):
             edges = self._redirected(edges)

@@ -88,7 +88,7 @@ def retrieve(queries: DataFrame, t: Tables, now_ms: int, top_k: int = 10, p: Par
     if "lifecycle" in units.columns:
         live = browse.eligible(units)
         fused = fused.join(units.join(live, "id", "left_anti").select("id"), "id", "left_anti")
-    fused = fallback(asked, fused.select("query_id", "id", "fused", "channel"), live, p)
+    fused = fallback(asked, stored(fused.select("query_id", "id", "fused", "channel")), live, p)
     seeds = stored(fusion.energised(fused, units.select("id", "importance"), p))
     reached = spreading.spread(seeds, t.edge, p)
     rows = reached.join(seeds.select("query_id", "id", "channel"), ["query_id", "id"], "left")
@@ -107,7 +107,5 @@ def retrieve(queries: DataFrame, t: Tables, now_ms: int, top_k: int = 10, p: Par
         rows = rows.withColumn("energy", rerank.context_correction(F.col("energy"), F.col("context"), p))
     rows = rows.withColumn("energy", rerank.coverage_correction(F.col("energy"), F.col("query_entities"), F.col("entities"), p))
     best = rerank.top_k(rows, top_k)
-    gone = F.col("lifecycle") if kept else None
-    notes = rerank.warnings(best.select("query_id", "id", "energy", *kept), t.edge, gone).select("query_id", "id", "warnings")
-    best = best.join(notes, ["query_id", "id"])
+    best = rerank.warned(best, t.edge, F.col("lifecycle") if kept else None)
     return best.select("query_id", "rank", "id", F.col("energy").alias("score"), "channel", "hop", rerank.matched_dimensions(F.col("trace"), F.col("channel")).alias("dimensions"), F.col("trace").alias("path"), spreading.trace_text(F.col("trace")).alias("trace"), "warnings")
