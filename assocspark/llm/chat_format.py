@@ -32,7 +32,7 @@ from .common import bounded_batches, discard, written
 
 ROLES = ("system", "user", "assistant", "tool")
 #: Fragments to a block, nodes to a parent, rows and bytes of text to a group of blocks that a task reads at once.
-BLOCK, FAN, GROUP_ROWS, GROUP_BYTES = 32, 64, 2_000, 8 << 20
+BLOCK, FAN, GROUP_ROWS, GROUP_BYTES = 256, 64, 2_000, 8 << 20
 #: Names that markers use.
 NAMES = {"system": "system|instructions?|context", "user": "user|human|you|question|q|customer|client", "assistant": "assistant|ai|bot|model|answer|a|agent|gpt", "tool": "tool|function|observation"}
 _NAMED = "|".join(f"(?P<{r}>{n})" for r, n in NAMES.items())
@@ -289,10 +289,16 @@ def raw_turns(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", "turn", "role", F.concat(mark, wrapped).alias("text"))
 
 
-def transcripts(raw: DataFrame) -> DataFrame:
-    """The lines (conv_id, turn, text) of raw turns, without roles; a line's place is the turn's, times 2 ** 20, and its own in it."""
+def line_bits(raw: DataFrame) -> int:
+    """Bits that the number of a line within its turn needs, so that places of a transcript's lines follow each other closely."""
+    longest = raw.agg(F.max(F.size(F.split("text", "\n", -1)))).first()[0]
+    return max(1, (longest or 1) - 1).bit_length()
+
+
+def transcripts(raw: DataFrame, bits: int) -> DataFrame:
+    """The lines (conv_id, turn, text) of raw turns, without roles; a line's place is the turn's, times 2 ** bits, and its own in it."""
     lines = raw.select("conv_id", F.coalesce(F.col("turn"), F.lit(0)).alias("t"), F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
-    return lines.select("conv_id", (F.col("t") * (1 << 20) + F.col("i")).alias("turn"), "text")
+    return lines.select("conv_id", (F.col("t") * (1 << bits) + F.col("i")).alias("turn"), "text")
 
 
 def held_out(conv: Column) -> Column:

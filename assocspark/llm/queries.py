@@ -22,8 +22,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = chat_format.raw_turns(table(spark, sf_dir, "conversations"))
     held_out = chat_format.held_out(F.col("conv_id"))
-    out = chat_format.format_chats(chat_format.transcripts(raw), chat_format.learn(raw.where(~held_out)))
-    return out.select("conv_id", F.col("turn").alias("place"), held_out.alias("held_out"), "role", "n_turns", "continues", F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))
+    bits = chat_format.line_bits(raw)
+    out = chat_format.format_chats(chat_format.transcripts(raw, bits), chat_format.learn(raw.where(~held_out)))
+    place = F.floor(F.col("turn") / (1 << bits)).alias("turn"), F.pmod("turn", F.lit(1 << bits)).alias("line")
+    return out.select("conv_id", *place, held_out.alias("held_out"), "role", "n_turns", "continues", F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
