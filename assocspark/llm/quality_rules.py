@@ -7,7 +7,9 @@ leave before the next rule grows. The list comes out as one ordered Spark condit
 
 Defined cases: null and empty texts have no words and fail the base rules. Null labels teach
 nothing; of repeated labels the smallest counts. Without two classes of labels, or when no rule is
-better than chance, every text that passes the base rules is kept. Repeated rows are judged alike.
+better than chance, every text that passes the base rules is kept. Repeated rows are judged alike, and rows with a null id are
+judged and returned. A very long text is held in its row as its words, and with 16 bytes for each 5-word window if one repeats. Columns
+other than id and text play no part, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations

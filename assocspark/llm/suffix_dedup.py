@@ -19,7 +19,8 @@ any two equal 100-byte strings share.
 
 Defined cases: null text is empty. Texts under 100 bytes lose nothing. Rows that share an id are one
 document written twice: they don't repeat each other, and each is returned. Rows with a null id
-are returned whole. An empty table gives an empty result. Extra columns play no part.
+are returned whole. A text longer than a buffer is hashed alone, in steps, with 16 bytes of hashes for each of its own. Columns other
+than id and text play no part, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -86,6 +86,14 @@ def test_rules_are_learnt(spark):
     assert quality_rules.judge(empty(spark), labels(spark, [])).count() == 0
 
 
+def test_quality_of_odd_rows(spark):
+    d = docs(spark, [*TEXTS, TEXTS[0], (None, BASE), (None, None)])
+    got = quality_rules.judge(d, labels(spark, [(1, 1, 0), (2, 0, 0), (2, 1, 0), (None, 0, 0), (7, None, None)])).collect()
+    assert len(got) == len(TEXTS) + 3 and len({tuple(r) for r in got if r.doc_id == 1}) == 1
+    assert [r.kept for r in got if r.doc_id is None and r.n_words] == [r.kept for r in got if r.doc_id == 1][:1]
+    assert all(not r.kept and r.base_failed for r in got if not r.n_words)
+
+
 def test_growing_prunes():
     rows = [((i % 10) / 10, i / 100, int(i % 10 > 2)) for i in range(100)]
     rules = quality_rules.learn_list(rows, 2)
@@ -110,10 +118,11 @@ def chats(spark, n=40):
 def test_chat_roles(spark):
     table = chats(spark)
     raw = chat_format.raw_turns(table)
-    lines = chat_format.transcripts(raw)
+    bits = chat_format.line_bits(raw)
+    lines = chat_format.transcripts(raw, bits)
     assert lines.columns == ["conv_id", "turn", "text"] and max(len(r.text) for r in lines.collect()) <= 90
     model = chat_format.learn(raw.where(~chat_format.held_out(F.col("conv_id"))))
-    out = chat_format.format_chats(lines, model).withColumn("said", F.col("role")).drop("role").withColumn("i", F.col("turn") % (1 << 20)).withColumn("turn", F.floor(F.col("turn") / (1 << 20)))
+    out = chat_format.format_chats(lines, model).withColumn("said", F.col("role")).drop("role").withColumn("i", F.col("turn") % (1 << bits)).withColumn("turn", F.floor(F.col("turn") / (1 << bits)))
     got = out.join(table, ["conv_id", "turn"]).where(chat_format.held_out(F.col("conv_id"))).collect()
     assert len(got) > 100
     assert sum(r.said == r.role for r in got) >= 0.9 * len(got)
@@ -282,6 +291,15 @@ def test_repeats_keep_columns_and_rows(spark):
     assert suffix_dedup.digests(empty(spark)).count() == 0
 
 
+def test_repeats_of_odd_rows(spark):
+    long = prose(70, 220_000)  # longer than a buffer
+    rows = [(1, PASSAGE), (2, long), (3, long[500_000:500_400] + "x" + PASSAGE), (4, "é" * 120)]
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.digests(docs(spark, [*rows, (None, PASSAGE), (None, None)])).where("doc_id is not null").collect()}
+    assert len(long.encode()) > 1 << 20 and got == brute_ranges(rows)
+    bare = suffix_dedup.digests(docs(spark, [*rows, (None, PASSAGE), (None, None)])).where("doc_id is null").collect()
+    assert sorted((r.n_bytes, r.n_removed) for r in bare) == [(0, 0), (len(PASSAGE), 0)]
+
+
 def test_suffix_sort():
     rng = np.random.default_rng(1)
     for _ in range(25):
