@@ -52,11 +52,11 @@ def postings(units: DataFrame) -> DataFrame:
     return units.select("id", F.explode(F.array_distinct(every)).alias("p")).select("p.dim", "p.key", "id")
 
 
-def candidate_pairs(posting: DataFrame, dims: tuple[str, ...] = ("entity", "topic", "temporal"), new: DataFrame | None = None, units: DataFrame | None = None) -> DataFrame:
+def candidate_pairs(posting: DataFrame, dims: tuple[str, ...] = ("entity", "topic", "temporal"), new: DataFrame | None = None, units: DataFrame | None = None, best: int | None = None) -> DataFrame:
     """(src, dst) of memories that share a key, dst written before src. Hours and days lie within weeks, so the weeks alone give all temporal pairs.
 
     new: postings of the memories whose pairs are wanted, or None for all. units (id, simhash): if given, pairs have their lexical
-    similarity, worked out where they meet. A key with many memories
+    similarity, worked out where they meet; best: then only so many of each src and key go on, which holds the best of all keys. A key with many memories
     is dealt as pairs of blocks."""
     use = lambda d: d.where(F.col("dim").isin(*dims)).where((F.col("dim") != "temporal") | F.col("key").startswith("w:"))
     a, keys = use(posting), ["dim", "key"]
@@ -67,8 +67,13 @@ def candidate_pairs(posting: DataFrame, dims: tuple[str, ...] = ("entity", "topi
     if units is not None:
         left, right = left.withColumnRenamed("simhash", "x"), right.withColumnRenamed("simhash", "y")
     pairs = left.join(right, [*keys, "i", "j"]).where("dst < src")
-    lexical = [] if units is None else [signatures.simhash_similarity(F.col("x"), F.col("y")).alias("lexical")]
-    return pairs.select("src", "dst", *lexical).distinct()
+    if units is None:
+        return pairs.select("src", "dst").distinct()
+    pairs = pairs.withColumn("lexical", signatures.simhash_similarity(F.col("x"), F.col("y")))
+    if best is not None:  # within the join's own partitions
+        w = Window.partitionBy(*keys, "i", "j", "src").orderBy(F.desc("lexical"), F.asc("dst"))
+        pairs = pairs.withColumn("n", F.row_number().over(w)).where(F.col("n") <= best)
+    return pairs.select("src", "dst", "lexical").distinct()
 
 
 def co_context(a: str, b: str) -> Column:

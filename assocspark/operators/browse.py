@@ -59,6 +59,17 @@ def strongest_edges(edges: DataFrame, n: int) -> DataFrame:
     return edges.orderBy(F.desc(F.round("strength", 9)), "src", "dst", "link_type").limit(n)
 
 
+def edge_view(edges: DataFrame) -> DataFrame:
+    """Edges as they are shown: their ends, type, figures, and whether they are on observation or confirmed."""
+    state = F.when(F.col("observing"), "Observing").otherwise("Confirmed")
+    return edges.select("src", "dst", "link_type", "strength", "confidence", state.alias("state"), "last_activated_at", "activation_count")
+
+
+def nodes(seen: DataFrame, units: DataFrame) -> DataFrame:
+    """A traversal's nodes (id, depth) that are memories, with type and preview."""
+    return seen.join(units.select("id", "content_type", preview(F.col("text")).alias("preview")), "id")
+
+
 def in_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import scores
 from ..hooks import HASH, Models
-from ..operators import association, browse, channels, learning, spreading
+from ..operators import association, browse, channels, learning, spreading, summaries
 from ..params import DEFAULT, POSITIVE_SIGNALS, Params
 from ..sources.warehouse import NotFound, Warehouse, by_ids, stored
 from . import retrieve as plan
@@ -49,7 +50,7 @@ class Engine:
             self._put(name, rows, key, memories, fresh)
         posting = self.store.read("posting")
         units = new.drop("embedding") if fresh else self.store.read("unit").unionByName(new.drop("embedding"))
-        pairs = association.candidate_pairs(posting, new=None if fresh else posting.join(memories.select("id"), "id", "left_semi"), units=units)
+        pairs = association.candidate_pairs(posting, new=None if fresh else posting.join(memories.select("id"), "id", "left_semi"), units=units, best=self.params.max_candidates)
         edges = association.build_edges(association.pair_features(pairs, units, self.params), F.lit(units.count()), now_ms, self.params).withColumn("ord", F.lit(0))
         if self.store.version("compressed"):
             edges = self._redirected(edges)
@@ -98,6 +99,26 @@ class Engine:
         """There are memories, but none has a vector."""
         return bool(self.store.version("unit")) and (not self.store.version("vector") or self.store.read("vector").where("embedding is not null").isEmpty())
 
+    def put_vectors(self, vectors: DataFrame) -> None:
+        """Replaces the vectors (id, embedding) of these ids; one of another length than the stored ones is an error."""
+        old = self.store.read("vector")
+        size = old.where("embedding is not null").select(F.size("embedding").alias("n")).first()
+        if size and not vectors.where(F.size("embedding") != size.n).isEmpty():
+            raise ValueError(f"vectors have {size.n} numbers")
+        self.store.upsert("vector", vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding"), scores.sign_code(F.col("embedding")).alias("code")), "id")
+
+    def remove_vectors(self, ids: DataFrame) -> None:
+        """Memories with these ids (id) have no vector any more."""
+        self.store.replace("vector", self.store.read("vector").join(ids.select("id"), "id", "left_anti"))
+
+    def query_context(self, retrieval_ids: DataFrame) -> DataFrame:
+        """(retrieval_id, feature) of these retrievals; unknown ones give none."""
+        return by_ids(self.store.log("query_context", CONTEXT), retrieval_ids, "retrieval_id")
+
+    def retrieval_paths(self, retrieval_ids: DataFrame) -> DataFrame:
+        """(retrieval_id, src, dst) of these retrievals; unknown ones give none."""
+        return by_ids(self.store.log("retrieval_path", PATHS), retrieval_ids, "retrieval_id")
+
     def tables(self) -> plan.Tables:
         link = self.store.read("context_link") if self.store.version("context_link") else None
         return plan.Tables(*map(self.store.read, ("unit", "posting", "edge", "term", "vector")), link)
@@ -166,8 +187,6 @@ class Engine:
 
     def summarise(self) -> DataFrame:
         """(leader, id) of clusters that deserve a summary."""
-        from ..operators import summaries
-
         return summaries.clusters(browse.eligible(self.store.read("unit")), self.params)
 
     def compress(self, now_ms: int) -> int:
@@ -212,6 +231,10 @@ class Engine:
         self._known(start.select("id"))
         return spreading.traverse(start, self.store.read("edge"), direction, depth, types)
 
+    def traverse_nodes(self, start: DataFrame, direction: str = "out", depth: int = 1, types: list[str] | None = None) -> DataFrame:
+        """The memories of a traversal with type and preview; targets that are no memory are left out."""
+        return browse.nodes(self.traverse(start, direction, depth, types), self.store.read("unit"))
+
     def traverse_edges(self, start: DataFrame, direction: str = "out", depth: int = 1, types: list[str] | None = None) -> DataFrame:
         return spreading.traversed_edges(self.traverse(start, direction, depth, types), self.store.read("edge"), direction, depth, types)
 
@@ -230,7 +253,7 @@ class Engine:
             "units": lambda: browse.unit_stats(units, edges),
             "postings": lambda: browse.posting_stats(self.store.read("posting")),
             "channel": lambda: self.store.read("posting").where(F.col("dim") == dim).groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(n),
-            "edges": lambda: edges,
+            "edges": lambda: browse.edge_view(edges),
             "strongest": lambda: browse.strongest_edges(edges, n),
             "contradictions": lambda: edges.where("link_type = 'Contradiction'"),
             "in_edges": lambda: browse.in_edges(edges, units),

@@ -9,6 +9,7 @@ from . import lang
 from .functions import text
 from .hooks import DIGEST
 from .operators import association, channels, rerank
+from .params import DEFAULT
 from .plans import retrieve as plan
 from .queries import BM25, ENTITY, MEM, NO_PATH, NOW, SIGNED, TOPIC, TRACE, _CTX, _NAMED, _TOP, _any, _first, _hop_sql, _label, _postings, _r, causal_sql, context_link_fold, digest_sql, memories, once, probes, query, question_sql, small, table
 from .sources.warehouse import stored
@@ -223,7 +224,7 @@ def _units(spark, sf_dir):
 
 def _features(spark, sf_dir):
     units = stored(_units(spark, sf_dir))
-    return association.pair_features(association.candidate_pairs(association.postings(units), units=units), units)
+    return association.pair_features(association.candidate_pairs(association.postings(units), units=units, best=DEFAULT.max_candidates), units)
 
 
 @query(f"WITH {UNITS}, {CAND} SELECT src, dst FROM cand")
@@ -323,7 +324,7 @@ def retrieve_topk(spark, sf_dir):
     """The whole retrieval: conversations as memories with their edges, benchmark texts as queries, all channels."""
     units = stored(_units(spark, sf_dir))
     posting = stored(association.postings(units))
-    e = stored(association.build_edges(association.pair_features(association.candidate_pairs(posting, units=units), units), F.lit(1000), NOW))
+    e = stored(association.build_edges(association.pair_features(association.candidate_pairs(posting, units=units, best=DEFAULT.max_candidates), units), F.lit(1000), NOW))
     asked_ = probes(spark, sf_dir).withColumn("now_ms", F.lit(1700000000000) + F.col("query_id") * 600000)
     out = plan.retrieve(asked_, plan.derived(units, posting, e), NOW, 10, models=DIGEST)
     return out.select("query_id", "rank", "id", _r("score", 8), "channel", "hop", F.array_join("dimensions", ",").alias("dimensions"), "trace", F.array_join("warnings", ",").alias("warnings"))

@@ -329,6 +329,16 @@ def test_engine_learns_from_feedback(spark, tmp_path):
     with pytest.raises(NotFound):
         engine.traverse(spark.createDataFrame([(99,)], "id long"))
     assert {(r.src, r.dst) for r in engine.traverse_edges(spark.createDataFrame([(4,)], "id long")).collect()} == {(r.src, r.dst) for r in engine.store.read("edge").where("src = 4").collect()}
+    assert {r.preview for r in engine.traverse_nodes(spark.createDataFrame([(4,)], "id long")).collect()} >= {"Zig and Bread"}
+    assert {r.state for r in engine.inspect("edges").collect()} <= {"Observing", "Confirmed"}
+    assert engine.query_context(spark.createDataFrame([(7,)], "retrieval_id long")).count() > 0 == engine.retrieval_paths(spark.createDataFrame([(1234,)], "retrieval_id long")).count()
+    vector = engine.store.read("vector").where("id = 3").select("id", F.transform("embedding", lambda x: -x).alias("embedding"))
+    engine.put_vectors(vector)
+    with pytest.raises(ValueError):
+        engine.put_vectors(spark.createDataFrame([(3, [1.0])], "id long, embedding array<double>"))
+    engine.remove_vectors(spark.createDataFrame([(1,)], "id long"))
+    kept = {r.id: r.embedding for r in engine.store.read("vector").collect()}
+    assert set(kept) == {2, 3, 4} and kept[3] == vector.first().embedding
     page, cursor, total = engine.list_info(3)
     assert ([r.id for r in page.collect()], cursor, total) == ([4, 3, 2], 2, 4) and engine.list_info(3, cursor=2)[1] is None
     assert {r.id for r in engine.get(spark.createDataFrame([(2,), (50,)], "id long")).collect()} == {2}
