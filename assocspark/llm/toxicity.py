@@ -54,6 +54,7 @@ _CODE[128:] = 27
 _WORD = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+])(?:[ .\-_*]{1,2}(?:[^\W_]|[@$!|+])){2,}(?![^\W_])")
 _ODD = re.compile(r"[\W\d_]|(.)\1")
+_RUN = re.compile(r"(.)\1*", re.S)
 _EDGE = ".,;:?\"'()[]{}<>&%#=~^/\\-_"
 
 
@@ -123,9 +124,47 @@ def score_reading(text: str, model: list[float], extra: float = 0.0) -> float:
     return extra
 
 
+def spelled(places: list[list[tuple[str, float]]], words: dict) -> list[tuple[float, str]]:
+    """Words of a trie that a lattice spells, with the log probability of the signs on the way."""
+    nodes = {id(words): (words, 0.0)}
+    for options in places:
+        step: dict[int, tuple[dict, float]] = {}
+        for node, at in nodes.values():
+            for o, cost in options:
+                to = node
+                for c in o:
+                    to = to.get(c)
+                    if to is None:
+                        break
+                if to is not None and (id(to) not in step or step[id(to)][1] < at + cost):
+                    step[id(to)] = to, at + cost
+        nodes = step
+        if not nodes:
+            return []
+    return [(at, node[""]) for node, at in nodes.values() if "" in node]
+
+
+def once_or_twice(token: str, model: list[float]) -> str:
+    """decode() of letters alone: whether a run stands once or twice changes nothing but its own second letter and the letter behind it."""
+    out, b = [], 0
+    for m in _RUN.finditer(token):
+        c, z = m[1], _symbol(m[1])
+        if m.end() - m.start() > 1:
+            d = _symbol(token[m.end()]) if m.end() < len(token) else 0
+            row, own = (b * _SYMBOLS + z) * _SYMBOLS, (z * _SYMBOLS + z) * _SYMBOLS
+            if model[row + z] + model[own + d] >= model[row + d]:
+                out.append(c)
+        out.append(c)
+        b = z
+    return "".join(out)
+
+
 def decode(token: str, model: list[float], words: dict | None = None) -> str:
     """The likeliest reading of a lower-case token. words: a trie of known words, {letter: trie, "": word}."""
     places = lattice(token)
+    known = spelled(places, words) if words else []
+    if not known and token.isalpha():
+        return once_or_twice(token, model)
     best = {(0, 0): (0.0, "")}
     for options in [*places, [(" ", 0.0)]]:
         after: dict[tuple[int, int], tuple[float, str]] = {}
@@ -141,25 +180,10 @@ def decode(token: str, model: list[float], words: dict | None = None) -> str:
                     after[x, y] = s, text + o
         best = after
     score, text = max(best.values())
-    if words:
-        nodes = {id(words): (words, 0.0)}
-        for options in places:
-            step: dict[int, tuple[dict, float]] = {}
-            for node, at in nodes.values():
-                for o, cost in options:
-                    to = node
-                    for c in o:
-                        to = to.get(c)
-                        if to is None:
-                            break
-                    if to is not None and (id(to) not in step or step[id(to)][1] < at + cost):
-                        step[id(to)] = to, at + cost
-            nodes = step
-            if not nodes:
-                break
-        known = [(score_reading(node[""], model, at), node[""]) for node, at in nodes.values() if "" in node]
-        if known and max(known)[0] + WORD_BONUS >= score:
-            return max(known)[1]
+    if known:
+        sure, word = max((score_reading(w, model, at), w) for at, w in known)
+        if sure + WORD_BONUS >= score:
+            return word
     return text.strip()
 
 
@@ -190,8 +214,15 @@ class Reader:
     def of_token(self, token: str) -> tuple:
         found = self.known.get(token)
         if found is None:
-            names = [f for w in _WORD.findall(self.restore(token)) for f in ("=" + w, *(w[:k] for k in PREFIXES if len(w) >= k))]
-            found = tuple(names) if self.keep is None else tuple(self.keep[f] for f in names if f in self.keep)
+            found, keep = [], self.keep
+            for w in _WORD.findall(self.restore(token)):
+                n = len(w)
+                for f in ("=" + w, *[w[:k] for k in PREFIXES if k <= n]):
+                    if keep is None:
+                        found.append(f)
+                    elif f in keep:
+                        found.append(keep[f])
+            found = tuple(found)
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             self.known[token] = found
