@@ -292,7 +292,7 @@ def test_repeats_keep_columns_and_rows(spark):
 
 
 def test_repeats_of_odd_rows(spark):
-    long = prose(70, 220_000)  # longer than a buffer
+    long = prose(70, 230_000)  # longer than a buffer
     rows = [(1, PASSAGE), (2, long), (3, long[500_000:500_400] + "x" + PASSAGE), (4, "é" * 120)]
     got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.digests(docs(spark, [*rows, (None, PASSAGE), (None, None)])).where("doc_id is not null").collect()}
     assert len(long.encode()) > 1 << 20 and got == brute_ranges(rows)
