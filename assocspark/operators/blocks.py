@@ -1,22 +1,18 @@
-"""Joins of a table to itself by keys that some rows share with very many others."""
+"""Joins of a table to itself, dealt as pairs of blocks of its keys."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a key that meet as many others at once.
-BLOCK = 5_000
+#: Keys of a block.
+BLOCK = 2_048
 
 
-def split(rows: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
-    """(keys, blocks) of keys with more than a block of rows."""
-    return rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("blocks")).where("blocks > 1")
-
-
-def dealt(rows: DataFrame, big: DataFrame, keys: list[str], by: list[str], own: str, other: str) -> DataFrame:
-    """rows with the number `own` of their key's block they are in (a hash of the columns `by`), once for each number `other` of a block
-    they meet. Joined by keys, own and other to the same table with the two exchanged, each pair of rows meets once, and in pairs of blocks."""
-    rows = rows.join(big, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
-    rows = rows.withColumn(own, F.pmod(F.xxhash64(*by), "blocks")).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return rows.drop("blocks")
+def split(rows: DataFrame, key: str, block: int = BLOCK) -> tuple[DataFrame, int]:
+    """rows with the block (own) of their key, once for each pair of blocks (lo, hi) that it is in, and the number of pairs. Rows of any
+    two keys are together in one pair of blocks."""
+    n = max(1, -(-rows.agg(F.approx_count_distinct(key)).first()[0] // block))
+    own = rows.withColumn("own", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other"), n * (n + 1) // 2

@@ -4,14 +4,21 @@ Edges are (src, dst, link_type, strength, confidence, observing, last_activated_
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..params import DAY_MS, DEFAULT, POSITIVE_SIGNALS, SIGNAL_WEIGHT, USAGE_DELTA, Params
+from ..sources.warehouse import stored
 from . import blocks
 
 
+#: Rejected ids that are sent to every task; more are shuffled.
+FEW = 200_000
+
+
 def _signal(table: dict[str, float]):
     out = F.when(F.lit(False), 0.0)
     for name, value in table.items():
@@ -19,19 +26,101 @@ def _signal(table: dict[str, float]):
     return out.otherwise(0.0)
 
 
+class _Met:
+    """Weights of the pairs of two blocks of memories, or of one, as events come in the order of time. Only those of the last window are held."""
+
+    #: Pairs of events that are worked out at once.
+    STEP = 1 << 21
+
+    def __init__(self, one: bool, window: int):
+        self.one, self.window, self.known = one, window, ({}, {})
+        self.sum, self.met = np.zeros((256, 256)), np.zeros((256, 256), bool)
+        self.held = tuple(np.empty(0, t) for t in (np.int64, np.int64, float, np.int64))  # time, number in its block, weight, side
+
+    def _numbers(self, ids: np.ndarray, side: int) -> np.ndarray:
+        known = self.known[side]
+        names, at = np.unique(ids, return_inverse=True)
+        return np.array([known.setdefault(x, len(known)) for x in names.tolist()], np.int64)[at]
+
+    def add(self, ids: np.ndarray, ts: np.ndarray, weight: np.ndarray, side: np.ndarray) -> None:
+        number = np.empty(len(ids), np.int64)
+        for s in (0, 1):
+            number[side == s] = self._numbers(ids[side == s], s)
+        size = max(map(len, self.known))
+        if size > len(self.sum):
+            wide = ((0, max(size, 2 * len(self.sum)) - len(self.sum)),) * 2
+            self.sum, self.met = np.pad(self.sum, wide), np.pad(self.met, wide)
+        first = len(self.held[0])
+        ts, number, weight, side = (np.concatenate(x) for x in zip(self.held, (ts, number, weight, side), strict=True))
+        new = np.arange(first, len(ts))
+        since = np.searchsorted(ts, ts[new] - self.window, "right")
+        if self.one:
+            self._pairs(new, since, new, np.arange(len(ts)), number, weight)
+        else:
+            for s in (0, 1):  # events of a side meet the earlier ones of the other
+                others, own = np.nonzero(side != s)[0], side[new] == s
+                e = new[own]
+                self._pairs(e, np.searchsorted(others, since[own]), np.searchsorted(others, e), others, number, weight, flip=s == 1)
+        kept = ts > ts[-1] - self.window
+        self.held = tuple(x[kept] for x in (ts, number, weight, side))
+
+    def _pairs(self, events, begin, end, others, number, weight, flip: bool = False) -> None:
+        counts = end - begin
+        total = np.cumsum(counts)
+        cuts = np.unique(np.append(np.searchsorted(total, np.arange(0, total[-1] if len(total) else 0, self.STEP), "right"), [0, len(events)]))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            c = counts[a:b]
+            x = np.repeat(events[a:b], c)
+            y = others[np.repeat(begin[a:b] - (np.cumsum(c) - c), c) + np.arange(len(x))]
+            i, j, w = number[x], number[y], np.minimum(weight[x], weight[y])
+            if self.one:
+                i, j = np.minimum(i, j), np.maximum(i, j)
+                i, j, w = i[i < j], j[i < j], w[i < j]
+            elif flip:
+                i, j = j, i
+            at = i * len(self.sum) + j
+            self.met.ravel()[at] = True
+            if 8 * len(at) < self.sum.size:
+                np.add.at(self.sum.ravel(), at, w)
+            else:
+                self.sum += np.bincount(at, w, self.sum.size).reshape(self.sum.shape)
+
+    def batches(self):
+        left, right = (np.array(list(k), np.int64) for k in (self.known[0], self.known[0 if self.one else 1]))
+        i, j = np.nonzero(self.met)
+        for at in range(0, len(i), 1 << 18):
+            x, y = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
+            a, b = left[x], right[y]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(self.sum[x, y])], ["a", "b", "weight"])
+
+
 def coactivation_pairs(log: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """log (memory_id, ts_ms, weight): (a, b, weight) of memories active less than pair_window_ms apart, a < b.
 
-    Times are cut into buckets of the window's length; each row meets those of its own bucket and the next. A busy bucket is
-    dealt as pairs of blocks."""
-    rows = log.select("memory_id", "ts_ms", "weight", F.floor(F.col("ts_ms") / p.pair_window_ms).alias("bucket"))
-    other = rows.select(F.col("memory_id").alias("m2"), F.col("ts_ms").alias("t2"), F.col("weight").alias("w2"), F.explode(F.array("bucket", F.col("bucket") - 1)).alias("bucket"), F.col("bucket").alias("b2"))
-    big = blocks.split(other, ["bucket"])
-    left, right = blocks.dealt(rows, big, ["bucket"], ["memory_id", "ts_ms"], "i", "j"), blocks.dealt(other, big, ["bucket"], ["m2", "t2"], "j", "i")
-    pairs = left.join(right, ["bucket", "i", "j"]).where((F.abs(F.col("ts_ms") - F.col("t2")) < p.pair_window_ms) & (F.col("memory_id") != F.col("m2")))
-    # pairs of one bucket are met from both sides, those of neighbours from one
-    pairs = pairs.where((F.col("b2") > F.col("bucket")) | (F.col("memory_id") < F.col("m2")))
-    return pairs.groupBy(F.least("memory_id", "m2").alias("a"), F.greatest("memory_id", "m2").alias("b")).agg(F.sum(F.least("weight", "w2")).alias("weight"))
+    Memories are dealt as pairs of blocks; a task reads the events of two in the order of time and holds their weights as a table, so no
+    pair of events is a row, and no pair of memories is shuffled."""
+    kind, window = log.schema["memory_id"].dataType, p.pair_window_ms
+    rows = log.where("memory_id is not null and ts_ms is not null").select(F.col("memory_id").cast("long").alias("id"), F.col("ts_ms").cast("long").alias("ts"), F.col("weight").cast("double").alias("weight"))
+    dealt, groups = blocks.split(rows, "id")
+
+    def run(batches):
+        at = state = None
+        for batch in batches:
+            lo, hi, own, ids, ts, weight = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi", "own", "id", "ts", "weight"))
+            cuts = np.append(np.nonzero(np.append(True, (np.diff(lo) != 0) | (np.diff(hi) != 0)))[0], len(lo))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if at != (lo[a], hi[a]):
+                    if state is not None:
+                        yield from state.batches()
+                    at, state = (lo[a], hi[a]), _Met(lo[a] == hi[a], window)
+                state.add(ids[a:b], ts[a:b], weight[a:b], (own[a:b] != lo[a]).astype(np.int64))
+        if state is not None:
+            yield from state.batches()
+
+    ordered = dealt.repartition(groups, "lo", "hi").sortWithinPartitions("lo", "hi", "ts", "id", "weight").select("lo", "hi", "own", "id", "ts", "weight")
+    return ordered.mapInArrow(run, "a long, b long, weight double").select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "weight")
 
 
 def weighted(log: DataFrame) -> DataFrame:
@@ -41,9 +130,9 @@ def weighted(log: DataFrame) -> DataFrame:
 
 def hebbian(edges: DataFrame, pairs: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Edges between the members of a pair that reached pair_min grow by hebbian_rate * min(weight, cap)."""
-    strong = pairs.where(F.col("weight") >= p.pair_min).withColumn("d", p.hebbian_rate * F.least("weight", F.lit(p.hebbian_cap)))
-    both = strong.select(F.col("a").alias("src"), F.col("b").alias("dst"), "d").unionByName(strong.select(F.col("b").alias("src"), F.col("a").alias("dst"), "d"))
-    rows = edges.join(both, ["src", "dst"], "left")
+    low, high = (lambda x, y: F.least(x, y).alias("low")), (lambda x, y: F.greatest(x, y).alias("high"))
+    strong = pairs.where(F.col("weight") >= p.pair_min).select(low("a", "b"), high("a", "b"), (p.hebbian_rate * F.least("weight", F.lit(p.hebbian_cap))).alias("d"))
+    rows = edges.select("*", low("src", "dst"), high("src", "dst")).join(strong, ["low", "high"], "left")
     return rows.withColumn("strength", F.when(F.col("d").isNotNull(), F.least(F.lit(1.0), F.col("strength") + F.col("d"))).otherwise(F.col("strength"))).withColumn("activation_count", F.col("activation_count") + F.col("d").isNotNull().cast("long")).drop("d").select(*edges.columns)
 
 
@@ -51,13 +140,15 @@ def new_edges(edges: DataFrame, pairs: DataFrame, now_ms: int, p: Params = DEFAU
     """CoActivation edges a to b for strong pairs that have none."""
     kind = "Causal" if p.causal_coactivation else "CoActivation"
     rows = pairs.where(F.col("weight") >= p.pair_min).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(kind).alias("link_type"))
-    rows = rows.join(edges.select("src", "dst", "link_type"), ["src", "dst", "link_type"], "left_anti")
+    rows = rows.join(edges.where(F.col("link_type") == kind).select("src", "dst"), ["src", "dst"], "left_anti")
     return rows.select("src", "dst", "link_type", F.lit(0.3).alias("strength"), F.lit(0.4).alias("confidence"), F.lit(True).alias("observing"), F.lit(now_ms).cast("long").alias("last_activated_at"), F.lit(0).cast("long").alias("activation_count"))
 
 
 def reject(edges: DataFrame, rejected: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Edges with a rejected end lose hebbian_rate, down to the floor, and one count. rejected: (id)."""
     ids = rejected.select("id").distinct()
+    if ids.limit(FEW + 1).count() <= FEW:
+        ids = F.broadcast(ids)
     rows = edges.join(ids.select(F.col("id").alias("src"), F.lit(True).alias("r1")), "src", "left").join(ids.select(F.col("id").alias("dst"), F.lit(True).alias("r2")), "dst", "left")
     hit = F.col("r1").isNotNull() | F.col("r2").isNotNull()
     return rows.withColumn("strength", F.when(hit, F.greatest(F.lit(p.floor), F.col("strength") - p.hebbian_rate)).otherwise(F.col("strength"))).withColumn("activation_count", F.when(hit, F.greatest(F.lit(0), F.col("activation_count") - 1)).otherwise(F.col("activation_count")).cast("long")).select(*edges.columns)
@@ -93,8 +184,8 @@ def compact(edges: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 
 def cycle(edges: DataFrame, log: DataFrame, now_ms: int, p: Params = DEFAULT) -> DataFrame:
-    """Hebbian change, new edges, rejection, forgetting, compaction."""
-    pairs = coactivation_pairs(weighted(log), p)
+    """Hebbian change, new edges, rejection, forgetting, compaction. The pairs that change something are stored, as they are read twice."""
+    pairs = stored(coactivation_pairs(weighted(log), p).where(F.col("weight") >= p.pair_min))
     grown = hebbian(edges, pairs, p)
     grown = grown.unionByName(new_edges(edges, pairs, now_ms, p))
     rejected = log.where("signal = 'UserRejected'").select(F.col("memory_id").alias("id"))
