@@ -93,6 +93,31 @@ class _Met:
             a, b = left[x], right[y]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(self.sum[x, y])], ["a", "b", "weight"])
 
+    def changes(self, least: float, most: int, rejected: np.ndarray, low: np.ndarray, high: np.ndarray, linked: np.ndarray):
+        """(a, b, weight, known) of pairs that reach least: those of the edges (low, high), known, and the others by which edges can come.
+        Of these, those not linked already, the most smallest b of each a that are rejected and as many that are not."""
+        left, right = (np.array(list(k), np.int64) for k in (self.known[0], self.known[0 if self.one else 1]))
+        total, over = self.sum[: len(left), : len(right)], (self.met & (self.sum >= least))[: len(left), : len(right)]
+        if self.one:
+            total, over = total + total.T, over | over.T
+        for rows, cols, weight, strong in ((left, right, total, over), (right, left, total.T, over.T))[: 1 if self.one else 2]:
+            x, y = np.argsort(rows), np.argsort(cols)
+            rows, cols, weight = rows[x], cols[y], weight[np.ix_(x, y)]
+            strong = strong[np.ix_(x, y)] & (cols[None, :] > rows[:, None])
+            if not strong.any():
+                continue
+            i, j = np.searchsorted(rows, low).clip(max=len(rows) - 1), np.searchsorted(cols, high).clip(max=len(cols) - 1)
+            here = (rows[i] == low) & (cols[j] == high) & strong[i, j]
+            found = [(i[here], j[here], True)]
+            strong[i[here & linked], j[here & linked]] = False
+            for gone in (np.isin(cols, rejected), ~np.isin(cols, rejected)):
+                of = strong & gone[None, :]
+                found.append((*np.nonzero(of & (np.cumsum(of, axis=1, dtype=np.int32) <= most)), False))
+            for i, j, known in found:
+                for at in range(0, len(i), 1 << 18):
+                    u, v = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[u]), pa.array(cols[v]), pa.array(weight[u, v]), pa.array(np.full(len(u), known))], ["a", "b", "weight", "known"])
+
 
 def coactivation_pairs(log: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """log (memory_id, ts_ms, weight): (a, b, weight) of memories active less than pair_window_ms apart, a < b.
@@ -123,6 +148,63 @@ def coactivation_pairs(log: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long, weight double").select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "weight")
 
 
+def _changes(edges: DataFrame, log: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+    """The ids of the memories that were active, and (a, b, weight, known) of the pairs of the log that change an edge or can become one that compact keeps: see _Met.changes. Edges
+    between memories of the log come to where their pairs meet, so other pairs of memories never leave their task."""
+    window, least, most = p.pair_window_ms, p.pair_min, p.max_degree
+    events = weighted(log).where("memory_id is not null and ts_ms is not null")
+    events = stored(events.select(F.col("memory_id").cast("long").alias("id"), F.col("ts_ms").cast("long").alias("ts"), F.col("weight").cast("double").alias("weight")))
+    none = F.lit(None).cast("long")
+    gone = log.where("signal = 'UserRejected'").select(F.col("memory_id").cast("long").alias("id")).distinct()
+    rows = events.select("*", F.lit(0).alias("what"), none.alias("far")).unionByName(gone.select("id", none.alias("ts"), F.lit(None).cast("double").alias("weight"), F.lit(1).alias("what"), none.alias("far")))
+    dealt, groups = blocks.split(rows.where("id is not null"), "id")
+    active = _few(stored(events.select("id").distinct()))
+    met = edges.where("src <> dst").select(F.least("src", "dst").cast("long").alias("id"), F.greatest("src", "dst").cast("long").alias("far"), ((F.col("link_type") == _kind(p)) & (F.col("src") < F.col("dst"))).alias("linked"))
+    met = met.join(active, "id", "left_semi").join(active.withColumnRenamed("id", "far"), "far", "left_semi").groupBy("id", "far").agg(F.max("linked").alias("linked"))
+    both = met.withColumn("x", blocks.own("id", groups)).withColumn("own", blocks.own("far", groups))
+    both = both.select("id", none.alias("ts"), F.lit(None).cast("double").alias("weight"), F.when(F.col("linked"), 3).otherwise(2).alias("what"), "far", F.col("x").alias("own"), F.least("x", "own").alias("lo"), F.greatest("x", "own").alias("hi"))
+
+    def run(batches):
+        at = state = None
+        rejected, low, high, linked = [], [], [], []
+
+        def ended():
+            whole = lambda parts, kind: np.concatenate([np.empty(0, kind), *parts])
+            yield from state.changes(least, most, whole(rejected, np.int64), whole(low, np.int64), whole(high, np.int64), whole(linked, bool))
+
+        for batch in batches:
+            lo, hi, own, ids, what = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi", "own", "id", "what"))
+            ts, weight, far = (batch.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("ts", "weight", "far"))
+            cuts = np.append(np.nonzero(np.append(True, (np.diff(lo) != 0) | (np.diff(hi) != 0) | (np.diff(np.minimum(what, 2)) != 0)))[0], len(lo))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if at != (lo[a], hi[a]):
+                    if state is not None:
+                        yield from ended()
+                    at, state = (lo[a], hi[a]), _Met(lo[a] == hi[a], window)
+                    for part in (rejected, low, high, linked):
+                        part.clear()
+                if what[a] == 0:
+                    state.add(ids[a:b], ts[a:b], weight[a:b], (own[a:b] != lo[a]).astype(np.int64))
+                elif what[a] == 1:
+                    rejected.append(ids[a:b])
+                else:
+                    low.append(ids[a:b])
+                    high.append(far[a:b])
+                    linked.append(what[a:b] == 3)
+        if state is not None:
+            yield from ended()
+
+    ordered = dealt.unionByName(both).repartition(groups, "lo", "hi").sortWithinPartitions("lo", "hi", "what", "ts", "id", "weight").select("lo", "hi", "own", "id", "ts", "weight", "what", "far")
+    return active, stored(ordered.mapInArrow(run, "a long, b long, weight double, known boolean"))
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """Rows that go to every task if there are few, else both sides of a join are shuffled."""
+    return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
+
+
 def weighted(log: DataFrame) -> DataFrame:
     """The activation log's (memory_id, ts_ms, signal) with the weights of signals that activate."""
     return log.where(F.col("signal").isin(*SIGNAL_WEIGHT)).withColumn("weight", _signal(SIGNAL_WEIGHT))
@@ -138,17 +220,22 @@ def hebbian(edges: DataFrame, pairs: DataFrame, p: Params = DEFAULT) -> DataFram
 
 def new_edges(edges: DataFrame, pairs: DataFrame, now_ms: int, p: Params = DEFAULT) -> DataFrame:
     """CoActivation edges a to b for strong pairs that have none."""
-    kind = "Causal" if p.causal_coactivation else "CoActivation"
-    rows = pairs.where(F.col("weight") >= p.pair_min).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(kind).alias("link_type"))
-    rows = rows.join(edges.where(F.col("link_type") == kind).select("src", "dst"), ["src", "dst"], "left_anti")
-    return rows.select("src", "dst", "link_type", F.lit(0.3).alias("strength"), F.lit(0.4).alias("confidence"), F.lit(True).alias("observing"), F.lit(now_ms).cast("long").alias("last_activated_at"), F.lit(0).cast("long").alias("activation_count"))
+    kind = _kind(p)
+    rows = pairs.where(F.col("weight") >= p.pair_min).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return _new(rows.join(edges.where(F.col("link_type") == kind).select("src", "dst"), ["src", "dst"], "left_anti"), now_ms, p)
+
+
+def _kind(p: Params) -> str:
+    return "Causal" if p.causal_coactivation else "CoActivation"
+
+
+def _new(rows: DataFrame, now_ms: int, p: Params) -> DataFrame:
+    return rows.select("src", "dst", F.lit(_kind(p)).alias("link_type"), F.lit(0.3).alias("strength"), F.lit(0.4).alias("confidence"), F.lit(True).alias("observing"), F.lit(now_ms).cast("long").alias("last_activated_at"), F.lit(0).cast("long").alias("activation_count"))
 
 
 def reject(edges: DataFrame, rejected: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Edges with a rejected end lose hebbian_rate, down to the floor, and one count. rejected: (id)."""
-    ids = rejected.select("id").distinct()
-    if ids.limit(FEW + 1).count() <= FEW:
-        ids = F.broadcast(ids)
+    ids = _few(rejected.select("id").distinct())
     rows = edges.join(ids.select(F.col("id").alias("src"), F.lit(True).alias("r1")), "src", "left").join(ids.select(F.col("id").alias("dst"), F.lit(True).alias("r2")), "dst", "left")
     hit = F.col("r1").isNotNull() | F.col("r2").isNotNull()
     return rows.withColumn("strength", F.when(hit, F.greatest(F.lit(p.floor), F.col("strength") - p.hebbian_rate)).otherwise(F.col("strength"))).withColumn("activation_count", F.when(hit, F.greatest(F.lit(0), F.col("activation_count") - 1)).otherwise(F.col("activation_count")).cast("long")).select(*edges.columns)
@@ -184,10 +271,16 @@ def compact(edges: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 
 def cycle(edges: DataFrame, log: DataFrame, now_ms: int, p: Params = DEFAULT) -> DataFrame:
-    """Hebbian change, new edges, rejection, forgetting, compaction. The pairs that change something are stored, as they are read twice."""
-    pairs = stored(coactivation_pairs(weighted(log), p).where(F.col("weight") >= p.pair_min))
-    grown = hebbian(edges, pairs, p)
-    grown = grown.unionByName(new_edges(edges, pairs, now_ms, p))
+    """Hebbian change, new edges, rejection, forgetting, compaction. What the log's pairs change is stored, as it is read twice. Of new edges
+    of a memory, all as strong but for rejection, only as many are made as compaction can keep."""
+    kinds = [edges.schema[c].dataType for c in ("src", "dst")]
+    active, changes = _changes(edges, log, p)
+    known = _few(changes.where("known").select("a", "b", "weight"))
+    new = changes.where("not known").select(F.col("a").cast(kinds[0]).alias("src"), F.col("b").cast(kinds[1]).alias("dst"))
+    flag = lambda c: active.select(F.col("id").alias(c), F.lit(True).alias("of_" + c))
+    met, marked = F.col("of_src").isNotNull() & F.col("of_dst").isNotNull(), edges.join(flag("src"), "src", "left").join(flag("dst"), "dst", "left")
+    grown = hebbian(marked.where(met).select(*edges.columns), known, p).unionByName(marked.where(~met).select(*edges.columns))
+    grown = grown.unionByName(_new(new, now_ms, p))
     rejected = log.where("signal = 'UserRejected'").select(F.col("memory_id").alias("id"))
     return compact(decay(reject(grown, rejected, p), now_ms, p), p)
 
